@@ -11,7 +11,8 @@ from storyloom import constants as K
 from storyloom.functions.dates import age_minutes, as_of_column
 from storyloom.functions.facts import casualties
 from storyloom.functions.labels import scoring_publisher, scoring_tier
-from storyloom.functions.text import rx, strip, text_or_empty
+from storyloom.functions.signals import CASUALTY_WORDS, Signals, signal_words
+from storyloom.functions.text import strip, text_or_empty
 
 DIMENSIONS = list(K.DIMENSION_CAPS)
 
@@ -25,13 +26,13 @@ def _finding(score, evidence) -> Column:
 class _Ladder:
     """First matching rung wins."""
 
-    def __init__(self, text: Column):
+    def __init__(self, text: Signals):
         self.text = text
         self.expr = None
 
     def rung(self, condition, score, evidence):
         if isinstance(condition, str):
-            condition = self.text.rlike(rx(condition))
+            condition = self.text.has(condition)
         found = _finding(score, evidence)
         self.expr = F.when(condition, found) if self.expr is None else self.expr.when(condition, found)
         return self
@@ -49,14 +50,15 @@ def combined_text(title, summary) -> Column:
     return F.lower(F.concat_ws(" ", text_or_empty(title), text_or_empty(summary)))
 
 
-def is_isolated(text: Column) -> Column:
-    return text.rlike(rx(K.ISOLATED)) & ~text.rlike(rx(K.WIDE_HARM))
+def is_isolated(text: Signals) -> Column:
+    """A single accident or local crime without wide harm."""
+    return text.has(K.ISOLATED) & ~text.has(K.WIDE_HARM)
 
 
-def importance_dimensions(text, category, isolated, casualty) -> Column:
+def importance_dimensions(text: Signals, category, isolated, casualty) -> Column:
     """Eight (score, evidence) findings from lower-case text."""
     cat = F.lower(text_or_empty(category))
-    notable = text.rlike(rx(K.NOTABLE_PERSON)) & ~text.rlike(rx(K.MASS_HARM))
+    notable = text.has(K.NOTABLE_PERSON) & ~text.has(K.MASS_HARM)
     count = F.format_number(casualty, 0)
 
     human = _Ladder(text)
@@ -74,7 +76,7 @@ def importance_dimensions(text, category, isolated, casualty) -> Column:
     human.rung(casualty.isNotNull(), 0.0, "")
     human.rungs(K.HUMAN_LADDER)
     human.rung(
-        text.rlike(rx(K.FATAL_ACCIDENT)) & ~notable,
+        text.has(K.FATAL_ACCIDENT) & ~notable,
         F.when(isolated, F.lit(4.0)).otherwise(F.lit(8.0)), "Documented fatal accident",
     )
     human.rung(notable, 2.0, "Individual notable passing; no public harm")
@@ -87,17 +89,17 @@ def importance_dimensions(text, category, isolated, casualty) -> Column:
 
     geographic = _Ladder(text).rung(isolated, 2.0, "Localized local traffic or safety incident")
     for pattern, cats, score, evidence in K.GEOGRAPHIC_LADDER:
-        geographic.rung(cat.isin(cats) | text.rlike(rx(pattern)), score, evidence)
+        geographic.rung(cat.isin(cats) | text.has(pattern), score, evidence)
 
     economic = _Ladder(text).rung(isolated, 0.0, "No macroeconomic consequence").rungs(K.ECONOMIC_LADDER)
     economic.rung(
-        (cat == "business") & text.rlike(rx(K.BUSINESS_ROUTINE)), 4.0, "Routine commercial/business activity"
+        (cat == "business") & text.has(K.BUSINESS_ROUTINE), 4.0, "Routine commercial/business activity"
     )
 
-    cyber = text.rlike(rx(K.CYBER))
+    cyber = text.has(K.CYBER)
     security = _Ladder(text)
     security.rung(
-        cyber & text.rlike(rx(K.CYBER_ESSENTIAL)), 10.0, "High-risk cyberattack on essential public sector"
+        cyber & text.has(K.CYBER_ESSENTIAL), 10.0, "High-risk cyberattack on essential public sector"
     )
     security.rung(cyber, 7.0, "Significant digital breach or cybersecurity threat")
     security.rungs(K.SECURITY_LADDER)
@@ -127,26 +129,35 @@ def with_importance(df: DataFrame, title="headline", summary="summary", category
     The lower-case text, the context flags and the casualty count are columns
     of their own, so that each is computed once per row.
     """
-    text = combined_text(F.col(title), F.col(summary))
+    signals = Signals(F.col("_text"), F.col("_signals"))
     return (
-        df.withColumn("_text", text)
-        .withColumn("_isolated", is_isolated(F.col("_text")))
-        .withColumn("_casualties", casualties(F.col("_text")))
+        with_signals(df, title, summary)
+        .withColumn("_casualties", F.when(signals.any_word(CASUALTY_WORDS), casualties(F.col("_text"))))
         .withColumn(
             "impact_evidence",
-            importance_dimensions(F.col("_text"), F.col(category), F.col("_isolated"), F.col("_casualties")),
+            importance_dimensions(signals, F.col(category), F.col("_isolated"), F.col("_casualties")),
         )
         .withColumn("importance_raw", importance_total(F.col("impact_evidence")))
+        .drop("_casualties")
     )
 
 
-def cap_lifestyle(importance, text) -> Column:
+def with_signals(df: DataFrame, title="headline", summary="summary") -> DataFrame:
+    """Adds the lower-case text, its gate words and the isolated-incident flag."""
+    return (
+        df.withColumn("_text", combined_text(F.col(title), F.col(summary)))
+        .withColumn("_signals", signal_words(F.col("_text")))
+        .withColumn("_isolated", is_isolated(Signals(F.col("_text"), F.col("_signals"))))
+    )
+
+
+def cap_lifestyle(importance, text: Signals) -> Column:
     return F.when(
-        text.rlike(rx(K.LIFESTYLE)), F.least(importance, F.lit(K.LIFESTYLE_CAP))
+        text.has(K.LIFESTYLE), F.least(importance, F.lit(K.LIFESTYLE_CAP))
     ).otherwise(importance)
 
 
-def urgency(text, isolated, developing=None, action_required=None, external=None, external_reason=None) -> Column:
+def urgency(text: Signals, isolated, developing=None, action_required=None, external=None, external_reason=None) -> Column:
     """(score, reason) of how soon a reader has to know."""
     developing = F.coalesce(developing, F.lit(False)) if developing is not None else F.lit(False)
     action = F.coalesce(action_required, F.lit(False)) if action_required is not None else F.lit(False)
@@ -157,18 +168,18 @@ def urgency(text, isolated, developing=None, action_required=None, external=None
         return F.struct(score.alias("score"), reason.alias("reason"))
 
     now = (
-        text.rlike(rx(K.EMERGENCY_NOW))
-        | text.rlike(rx(K.EVACUATION + K.EVACUATION_EXCLUDED))
+        text.has(K.EMERGENCY_NOW)
+        | text.evacuation()
         | (action & ~isolated)
     )
-    crisis = ~isolated & (developing | text.rlike(rx(K.CRISIS)))
+    crisis = ~isolated & (developing | text.has(K.CRISIS))
     rules = (
         F.when(now, out(95.0, K.URGENCY_TEXT[95.0]))
         .when(crisis, out(82.0, K.URGENCY_TEXT[82.0]))
-        .when(text.rlike(rx(K.ANNOUNCED_TODAY)), out(60.0, K.URGENCY_TEXT[60.0]))
+        .when(text.has(K.ANNOUNCED_TODAY), out(60.0, K.URGENCY_TEXT[60.0]))
         .when(isolated, out(35.0, K.URGENCY_ISOLATED))
-        .when(text.rlike(rx(K.PROCEDURE)), out(40.0, K.URGENCY_TEXT[40.0]))
-        .when(text.rlike(rx(K.RETROSPECTIVE)), out(15.0, K.URGENCY_TEXT[15.0]))
+        .when(text.has(K.PROCEDURE), out(40.0, K.URGENCY_TEXT[40.0]))
+        .when(text.has(K.RETROSPECTIVE), out(15.0, K.URGENCY_TEXT[15.0]))
         .otherwise(out(35.0, K.URGENCY_STANDARD))
     )
     if external is None:
@@ -373,16 +384,17 @@ NO_SOURCES_TRUST = 40.0
 def with_story_scores(cards: DataFrame, as_of, lifestyle_cap: bool = False) -> DataFrame:
     """Importance, urgency and freshness of each card, as one projection."""
     scored = with_importance(cards)
+    signals = Signals(F.col("_text"), F.col("_signals"))
     imp = F.col("importance_raw")
     if lifestyle_cap:
-        imp = cap_lifestyle(imp, F.col("_text"))
+        imp = cap_lifestyle(imp, signals)
     return (
         scored.withColumn("importance_base", imp)
-        .withColumn("_urgency", urgency(F.col("_text"), F.col("_isolated")))
+        .withColumn("_urgency", urgency(signals, F.col("_isolated")))
         .withColumn("urgency_score", F.col("_urgency.score"))
         .withColumn("urgency_reason", F.col("_urgency.reason"))
         .withColumn("freshness_score", freshness(F.col("published_at"), as_of))
-        .drop("_text", "_isolated", "_urgency")
+        .drop("_text", "_signals", "_isolated", "_urgency")
     )
 
 

@@ -24,13 +24,41 @@ SOURCE_HOSTS = [
 ]
 
 
+# Phrases planted behind headlines, one per card, so that keyword rules fire.
+PHRASES = [
+    "Cyclone strikes coast, thousands displaced", "Union Cabinet approves tax bill", "Ransomware hits regional power grid",
+    "Malware halts hospital networks", "Pipeline maintenance in Ward 4", "Veteran actor dies aged 82",
+    "Earthquake leaves hundreds dead", "Celebrity at fashion show", "Mandatory evacuation after chemical spill",
+    "Evacuation drills planned", "Bike accident on highway, one dead", "Floods claim 1,385 lives",
+    "At least 25 people have died in train derailment", "Five killed in crash", "Market crash deepens recession",
+    "Law passed by parliament", "Search and rescue continues", "Investigation ongoing, probe ordered",
+    "Anniversary editorial", "Breaking: verdict delivered today", "Weapons recovered near border",
+    "Historic treaty, permanent shift", "Stock exchange sees quarterly profit", "Storm alert sounded",
+    "Museum opens painting exhibition", "Routine notes", "Hostage taken, death toll rises", "Bilateral pact signed",
+    "Stabbed in fight, suspect held",
+]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     pin_session(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     for field in df.schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-    return df
+    return spread(df) if name in TEXT_TABLES else df
+
+
+TEXT_TABLES = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out when a scan gives fewer splits than there are cores.
+
+    Text work is bound by the processor; one small file would leave it to one
+    core.  Large tables have splits enough and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _spark_list(values) -> str:
@@ -112,7 +140,9 @@ SOURCES_SQL = f"""sources_v AS (
 
 def cards(spark, folder) -> DataFrame:
     return articles(spark, folder).selectExpr(
-        "id as card_id", "id div 2 as cluster_id", "title as headline", "raw_text as summary", "category",
+        "id as card_id", "id div 2 as cluster_id",
+        f"concat(title, '. ', element_at({_spark_list(PHRASES)}, cast(id % {len(PHRASES)} + 1 as int))) as headline",
+        "raw_text as summary", "category",
         "if(id % 11 = 0, 'pending_review', 'published') as verified_status",
         "if(id % 9 = 0, 'PROMOTIONAL', 'NEWS') as content_type",
         "if(id % 13 = 0, 'seed', 'live_pipeline') as created_by",
@@ -121,9 +151,10 @@ def cards(spark, folder) -> DataFrame:
     )
 
 
-CARDS_SQL = ARTICLES_SQL + """,
+CARDS_SQL = ARTICLES_SQL + f""",
 cards_v AS (
-  SELECT id AS card_id, id // 2 AS cluster_id, title AS headline, raw_text AS summary, category,
+  SELECT id AS card_id, id // 2 AS cluster_id,
+    title || '. ' || ({_duck_list(PHRASES)})[id % {len(PHRASES)} + 1] AS headline, raw_text AS summary, category,
     CASE WHEN id % 11 = 0 THEN 'pending_review' ELSE 'published' END AS verified_status,
     CASE WHEN id % 9 = 0 THEN 'PROMOTIONAL' ELSE 'NEWS' END AS content_type,
     CASE WHEN id % 13 = 0 THEN 'seed' ELSE 'live_pipeline' END AS created_by,
