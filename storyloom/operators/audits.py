@@ -67,11 +67,9 @@ def chronology(articles: DataFrame, order: str, key: str = "cluster_id") -> Data
         F.min("published_at").alias("first_reported_at"), F.max(own).alias("_latest"),
         F.min_by(F.struct("published_at"), order)["published_at"].alias("_lead"),
     )
-    dates = articles.filter(~F.col("is_wire")).select(
-        key, F.col("published_at").alias("_date")).filter("_date is not null").distinct()
-    lead = grouped.join(
-        dates.withColumn("_own", F.lit(True)),
-        (grouped[key] == dates[key]) & (grouped["_lead"] == dates["_date"]), "left").drop(dates[key])
+    dates = articles.filter(~F.col("is_wire")).select(key, F.col("published_at").alias("_lead")).filter(
+        "_lead is not null").distinct().withColumn("_own", F.lit(True))
+    lead = grouped.join(dates, [key, "_lead"], "left")
     return lead.select(
         key, "first_reported_at",
         F.coalesce("_latest", "first_reported_at").alias("latest_independent_at"),

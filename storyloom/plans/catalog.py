@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from storyloom.plans import score_queries, text_queries  # noqa: F401
+from storyloom.plans import cluster_queries, score_queries, table_queries, text_queries  # noqa: F401
 from storyloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
