@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from storyloom.plans import cluster_queries, score_queries, table_queries, text_queries  # noqa: F401
+from storyloom.plans import (  # noqa: F401
+    cluster_queries,
+    score_queries,
+    source_queries,
+    table_queries,
+    text_queries,
+)
 from storyloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
