@@ -60,27 +60,29 @@ def best_per_cluster(cards: DataFrame, score="final_feed_score", by=("cluster_id
 FEED_ORDER = ["final_feed_score", "published_s", "created_s", "card_id"]
 
 
-def _leading(cards: DataFrame, keys, need: int, order) -> DataFrame:
-    """Rows per key down to the one where ``need`` unshared clusters are seen.
+def _leading(cards: DataFrame, keys, need: int, score: str) -> DataFrame:
+    """The first ``need`` clusters per key, each by its first card in feed order.
 
-    A shared cluster may be shown through another card, so it does not count.
+    Both rankings are bounded by a literal, so Spark prunes them before the
+    shuffle and no task receives a whole category.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    seen = F.sum(1 - F.col("shared")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        cards.withColumn("_seen", seen - (1 - F.col("shared"))).filter(F.col("_seen") < need).drop("_seen")
-    )
+    order = [F.desc(score), F.desc("published_s"), F.desc("created_s"), F.desc("card_id")]
+    one = Window.partitionBy(*keys, "cluster_id").orderBy(*order)
+    first = cards.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+    top = Window.partitionBy(*keys).orderBy(*order)
+    return first.withColumn("_n", F.row_number().over(top)).filter(F.col("_n") <= need).drop("_n")
 
 
 def user_feeds(scored: DataFrame, users: DataFrame, offset: int = 0, limit: int = 10) -> DataFrame:
     """One page of the ranked feed for every reader.
 
     A reader's place decides the location points of a card, the category order
-    the rest.  Cards are put on shelves (a district, a state, no place, all);
-    on a shelf and in a category every card above another is worth at least as
-    much to a reader of that shelf, so only the leading cards of a shelf can be
-    shown.  Places are joined with their shelves by key, readers with the
-    leading cards of their place; cards and readers are never crossed.
+    the rest.  Cards are put on shelves: a district, a state, no place, all.
+    For each level of location points there is a shelf whose other cards are
+    worth at least that level to the reader; there, within a category, a card
+    behind ``need`` other clusters can never be shown.  Places are joined with
+    their shelves by key, readers with the leading cards of their place; cards
+    and readers are never crossed.  A cluster shows its first card in feed order.
     """
     need = offset + limit
 
@@ -93,10 +95,6 @@ def user_feeds(scored: DataFrame, users: DataFrame, offset: int = 0, limit: int
         clean("state").alias("state"), clean("district").alias("district"), base.alias("base_score"),
         epoch("published_at").alias("published_s"), epoch("created_at").alias("created_s"),
     )
-    # inside a cluster and class the best card is best for every reader
-    cards = best_per_cluster(cards, "base_score", ("cluster_id", "category", "state", "district"))
-    shared = F.count(F.lit(1)).over(Window.partitionBy("cluster_id")) > 1
-    cards = cards.withColumn("shared", shared.cast("int"))
 
     here, there = F.col("state") != "", F.col("district") != ""
     shelf = F.array_compact(F.array(
@@ -105,8 +103,7 @@ def user_feeds(scored: DataFrame, users: DataFrame, offset: int = 0, limit: int
         F.when(~here & ~there, F.lit("no place")), F.when(~here, F.lit("no state")),
         F.when(~there, F.lit("no district")), F.lit("all"),
     ))
-    by_base = [F.desc("base_score"), F.desc("published_s"), F.desc("created_s"), F.desc("card_id")]
-    shelves = _leading(cards.withColumn("shelf", F.explode(shelf)), ("shelf", "category"), need, by_base)
+    shelves = _leading(cards.withColumn("shelf", F.explode(shelf)), ("shelf", "category"), need, "base_score")
 
     readers = users.select(
         "device_id", clean("user_state").alias("user_state"), clean("user_district").alias("user_district"),
@@ -126,7 +123,7 @@ def user_feeds(scored: DataFrame, users: DataFrame, offset: int = 0, limit: int
     pool = places.join(shelves, "shelf").drop("shelf").dropDuplicates([*place, "card_id"])
     pool = pool.withColumn("location", local).withColumn(
         "local_score", F.round(F.col("base_score") + F.col("location") * K.WEIGHT_RELEVANCE, 6))
-    pool = _leading(pool, (*place, "category"), need, [F.desc("local_score"), *by_base[1:]])
+    pool = _leading(pool, (*place, "category"), need, "local_score")
 
     interest = S.interest_score(F.col("category"), F.col("category_order"))
     seen = readers.join(pool, place).withColumn("relevance", F.bround(F.col("location") + interest, 2))
@@ -134,11 +131,10 @@ def user_feeds(scored: DataFrame, users: DataFrame, offset: int = 0, limit: int
     seen = seen.select(
         "device_id", "card_id", "cluster_id", "relevance", "published_s", "created_s",
         F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 10), 2).alias("final_feed_score"))
-    best = best_per_cluster(seen, "final_feed_score", ("device_id", "cluster_id"))
+    best = _leading(seen, ("device_id",), need, "final_feed_score")
     w = Window.partitionBy("device_id").orderBy(*[F.desc(c) for c in FEED_ORDER])
-    return best.withColumn("rank", F.row_number().over(w)).filter(
-        (F.col("rank") > offset) & (F.col("rank") <= need)
-    ).select("device_id", "rank", "card_id", "cluster_id", "relevance", "final_feed_score")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") > offset).select(
+        "device_id", "rank", "card_id", "cluster_id", "relevance", "final_feed_score")
 
 
 def explain_cards(cards: DataFrame) -> DataFrame:

@@ -245,7 +245,8 @@ all_v AS (SELECT device_id, card_id, cluster_id, published_at, created_at,
     {SQ.location('state', 'district', 'user_state', 'user_district')} + {SQ.interest('category', 'category_order')} AS relevance, base
   FROM scored_v CROSS JOIN users_v),
 f_v AS (SELECT *, round(round(least(100.0, greatest(0.0, base + relevance * 0.15)), 10), 2) AS final_feed_score FROM all_v),
-b_v AS (SELECT * FROM f_v QUALIFY row_number() OVER (PARTITION BY device_id, cluster_id ORDER BY final_feed_score DESC, card_id) = 1)
+b_v AS (SELECT * FROM f_v QUALIFY row_number() OVER (PARTITION BY device_id, cluster_id ORDER BY final_feed_score DESC,
+    coalesce(epoch(published_at), 0) DESC, coalesce(epoch(created_at), 0) DESC, card_id DESC) = 1)
 SELECT device_id, CAST(rank AS BIGINT) AS rank, card_id, cluster_id, relevance, final_feed_score FROM (
   SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY final_feed_score DESC,
     coalesce(epoch(published_at), 0) DESC, coalesce(epoch(created_at), 0) DESC, card_id DESC) AS rank FROM b_v) WHERE rank <= 10""")
