@@ -220,12 +220,12 @@ def coverage_select(clusters: DataFrame, per_category=50, misc=10, per_state=15)
 def interleave(primary: DataFrame, second: DataFrame, order: str, ident: str) -> DataFrame:
     """One ranked list: after every ``ratio`` primary rows one of the second pool.
 
-    ``ratio`` is |primary| // |second|, at least 1; second rows left over come
-    last.  Both pools are short lists (the outcome of coverage_select).
+    ``ratio`` is |primary| // |second|, at least 1; second rows left over come last.
     """
+    from storyloom.operators.ranks import positions
+
     def ranked(df, tag):
-        w = Window.orderBy(F.desc(order), ident)
-        return df.withColumn("_i", F.row_number().over(w)).withColumn("pool", F.lit(tag))
+        return positions(df, [F.desc(order), F.col(ident)], "_i").withColumn("pool", F.lit(tag))
 
     both = ranked(primary, "primary").unionByName(ranked(second, "second"), True)
     counts = both.groupBy().agg(
@@ -234,11 +234,8 @@ def interleave(primary: DataFrame, second: DataFrame, order: str, ident: str) ->
     ratio = F.greatest(F.lit(1), F.floor(F.col("_np") / F.greatest(F.col("_ns"), F.lit(1))))
     slot = F.when(F.col("pool") == "primary", F.col("_i").cast("double")).otherwise(
         F.least(F.col("_i") * ratio, F.col("_np") + F.col("_i")).cast("double") + 0.5)
-    final = F.row_number().over(Window.orderBy("_slot", "_i"))
-    return (
-        both.withColumn("_one", F.lit(1)).join(counts, "_one").withColumn("_slot", slot)
-        .withColumn("position", final).drop("_one", "_np", "_ns", "_slot", "_i")
-    )
+    placed = both.withColumn("_one", F.lit(1)).join(counts, "_one").withColumn("_slot", slot)
+    return positions(placed, [F.col("_slot"), F.col("_i")], "position").drop("_one", "_np", "_ns", "_slot", "_i")
 
 
 def latest(df: DataFrame, n: int, source: str | None = None, order=("fetched_at", "id")) -> DataFrame:
@@ -263,16 +260,19 @@ def first_per(df: DataFrame, key, order) -> DataFrame:
 
 
 def rank_in_pools(df: DataFrame, score: str, pool_order: str, pools=(22, 50, 100), by=()) -> DataFrame:
-    """Rank of each row by score within the first n rows of another order.
+    """Rank of each row by score within the first n rows of another order, and in all.
 
-    ``pool_order`` is a rank column; rows outside a pool have NULL there.
+    ``pool_order`` is a position column; rows outside a pool have NULL there.
     """
-    out = df
-    for n in [*pools, None]:
-        inside = F.lit(True) if n is None else F.col(pool_order) <= n
-        name = "rank_in_all" if n is None else f"rank_in_{n}"
-        w = Window.partitionBy(*by, inside).orderBy(F.desc(score))
-        out = out.withColumn(name, F.when(inside, F.rank().over(w)))
+    from storyloom.operators.ranks import ranks
+
+    out = ranks(df, score, "rank_in_all", by)
+    for n in pools:
+        inside = F.col(pool_order) <= n
+        # rows outside the pool are spread out, only the n inside have to meet
+        spread = F.when(inside, F.lit(-1)).otherwise(F.pmod(F.xxhash64(pool_order), F.lit(4096)))
+        w = Window.partitionBy(*by, spread).orderBy(F.desc(score))
+        out = out.withColumn(f"rank_in_{n}", F.when(inside, F.rank().over(w)))
     return out
 
 

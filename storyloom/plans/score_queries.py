@@ -10,6 +10,7 @@ from storyloom.operators import feed as R
 from storyloom.operators import filters as P
 from storyloom.operators import scoring as S
 from storyloom.operators import verification as C
+from storyloom.operators.ranks import positions
 from storyloom.plans import fixtures as V
 from storyloom.plans import scoring_sql as SQ
 from storyloom.plans import sqltext as Q
@@ -322,7 +323,8 @@ def counterfactual(spark, folder):
         ("c", "Bihar", None, ["National", "Politics", "Technology", "Business"]),
     ], "device_id string, user_state string, user_district string, category_order array<string>")
     cards = _ranked(spark, folder).withColumn("base_score", F.round("base_score", 2))
-    cards = cards.withColumn("pool_rank", F.row_number().over(Window.orderBy(F.desc("base_score"), "card_id")))
+    cards = positions(cards.select("card_id", "category", "state", "district", "base_score"),
+                      [F.desc("base_score"), F.col("card_id")], "pool_rank")
     out = R.counterfactual(cards, users)
     ranks = [F.col(f"rank_in_{n}").cast("bigint").alias(f"rank_in_{n}") for n in ("22", "50", "100", "all")]
     return out.select("device_id", "card_id", F.col("final_feed_score").alias("score"), *ranks)
@@ -454,8 +456,8 @@ stream_v AS (SELECT card_id FROM rest_v WHERE head <> '' AND head NOT IN (SELECT
 SELECT card_id, section FROM top_v UNION ALL SELECT card_id, 'desk' FROM desk_v UNION ALL SELECT card_id, 'stream' FROM stream_v""")
 def sections(spark, folder):
     order = [F.desc("final_feed_score"), R.epoch("published_at").desc(), R.epoch("created_at").desc(), F.desc("card_id")]
-    ranked = _ranked(spark, folder).select(
-        "card_id", "headline", "state", "category", F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    ranked = positions(_ranked(spark, folder).select(
+        "card_id", "headline", "state", "category", "final_feed_score", "published_at", "created_at"), order, "rank")
     return R.sections(ranked, "Kerala").select("card_id", "section")
 
 

@@ -8,6 +8,7 @@ from storyloom.operators import audits as A
 from storyloom.operators import feed as R
 from storyloom.operators import filters as P
 from storyloom.operators import joins as J
+from storyloom.operators.ranks import positions
 from storyloom.plans import fixtures as V
 from storyloom.plans import scoring_sql as SQ
 from storyloom.plans import sqltext as Q
@@ -528,10 +529,8 @@ r AS (SELECT *, row_number() OVER (ORDER BY priority_score DESC, card_id) AS ran
 g AS (SELECT coalesce(state, 'National') AS bucket, count(*) AS valid, count(*) FILTER (rank <= 200) AS survived FROM r GROUP BY 1)
 SELECT bucket, valid, survived, valid - survived AS lost, round((valid - survived)::DOUBLE / valid * 100, 4) AS loss_pct FROM g""")
 def diversity_loss(spark, folder):
-    from pyspark.sql import Window
-
-    ranked = V.cards(spark, folder).select("state", F.row_number().over(
-        Window.orderBy(F.desc("priority_score"), "card_id")).alias("rank"))
+    ranked = positions(V.cards(spark, folder).select("card_id", "state", "priority_score"),
+                       [F.desc("priority_score"), F.col("card_id")], "rank")
     return A.diversity_loss(ranked, F.coalesce("state", F.lit("National")), 200)
 
 
@@ -636,9 +635,7 @@ def cluster_importance(spark, folder):
 SELECT o_orderkey, CASE WHEN n <= 50 THEN rank() OVER (PARTITION BY n <= 50 ORDER BY o_totalprice DESC) END AS rank_in_50,
   rank() OVER (ORDER BY o_totalprice DESC) AS rank_in_all FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders)""")
 def rank_in_pools(spark, folder):
-    from pyspark.sql import Window
-
-    orders = V.table(spark, folder, "orders").withColumn("n", F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey")))
+    orders = positions(V.table(spark, folder, "orders"), [F.desc("o_orderdate"), F.col("o_orderkey")], "n")
     out = R.rank_in_pools(orders, "o_totalprice", "n", (50,))
     return out.select("o_orderkey", F.col("rank_in_50").cast("bigint").alias("rank_in_50"), F.col("rank_in_all").cast("bigint").alias("rank_in_all"))
 
