@@ -107,7 +107,7 @@ def user_feeds(scored: DataFrame, users: DataFrame, offset: int = 0, limit: int
 
     readers = users.select(
         "device_id", clean("user_state").alias("user_state"), clean("user_district").alias("user_district"),
-        F.coalesce("category_order", F.array().cast("array<string>")).alias("category_order"))
+        S.clean_order(F.coalesce("category_order", F.array().cast("array<string>"))).alias("wishes"))
     has_state, has_district = F.col("user_state") != "", F.col("user_district") != ""
     visited = F.array_compact(F.array(
         F.when(has_district, F.concat(F.lit("district:"), "user_district")),
@@ -125,8 +125,10 @@ def user_feeds(scored: DataFrame, users: DataFrame, offset: int = 0, limit: int
         "local_score", F.round(F.col("base_score") + F.col("location") * K.WEIGHT_RELEVANCE, 6))
     pool = _leading(pool, (*place, "category"), need, "local_score")
 
-    interest = S.interest_score(F.col("category"), F.col("category_order"))
-    seen = readers.join(pool, place).withColumn("relevance", F.bround(F.col("location") + interest, 2))
+    pool = pool.withColumn("wish", clean("category"))
+    # readers are dealt out before each meets the cards of its place
+    seen = readers.repartition("device_id").join(pool, place).withColumn(
+        "relevance", F.bround(F.col("location") + S.ranked_interest(F.col("wish"), F.col("wishes")), 2))
     total = F.col("base_score") + F.col("relevance") * K.WEIGHT_RELEVANCE
     seen = seen.select(
         "device_id", "card_id", "cluster_id", "relevance", "published_s", "created_s",

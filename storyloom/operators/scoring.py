@@ -205,13 +205,21 @@ def freshness(published_at, as_of, event_time=None) -> Column:
     return out.otherwise(F.lit(K.FRESHNESS_OLDEST))
 
 
+def clean_order(category_order) -> Column:
+    """A reader's category list in lower case, without blanks."""
+    return F.filter(F.transform(category_order, lambda c: F.lower(strip(c))), lambda c: c != "")
+
+
+def ranked_interest(category, order) -> Column:
+    """Points by the position of a clean category in a clean list."""
+    rank = F.array_position(order, category)
+    ranked = F.greatest(F.lit(K.INTEREST_MINIMUM), F.lit(K.INTEREST_TOP) - (rank - 1) * F.lit(K.INTEREST_STEP))
+    return F.when((category != "") & (F.coalesce(rank, F.lit(0)) > 0), ranked).otherwise(F.lit(K.INTEREST_UNRANKED))
+
+
 def interest_score(category, category_order) -> Column:
     """Points by the rank of a category in a reader's ordered list."""
-    cat = F.lower(strip(text_or_empty(category)))
-    order = F.filter(F.transform(category_order, lambda c: F.lower(strip(c))), lambda c: c != "")
-    rank = F.array_position(order, cat)
-    ranked = F.greatest(F.lit(K.INTEREST_MINIMUM), F.lit(K.INTEREST_TOP) - (rank - 1) * F.lit(K.INTEREST_STEP))
-    return F.when((cat != "") & (F.coalesce(rank, F.lit(0)) > 0), ranked).otherwise(F.lit(K.INTEREST_UNRANKED))
+    return ranked_interest(F.lower(strip(text_or_empty(category))), clean_order(category_order))
 
 
 def location_score(category, state, district, user_state, user_district) -> Column:
