@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, toxicity
+from . import decontamination, mixing, quality, topk, toxicity
 from .tables import fold, table
 
 QUERIES: dict = {}
@@ -63,6 +63,23 @@ def op3_toxicity(spark, folder):
     return _scored(docs, model, toxicity.score, 0.5)
 
 
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op4_topk", OP4_SQL)
+def op4_topk(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    return topk.search(rows, rows.where(F.col("vec_id") % 20 == 0), 20, 64.0)
+
+
 @query("op7_quality")
 def op7_quality(spark, folder):
     docs = table(spark, folder, "documents")
