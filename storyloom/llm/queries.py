@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, topk, toxicity
+from . import decontamination, mixing, quality, topk, toxicity, urlfilter
 from .tables import fold, table
 
 QUERIES: dict = {}
@@ -59,7 +59,7 @@ def _scored(docs, model, scorer, least: float):
 @query("op3_toxicity")
 def op3_toxicity(spark, folder):
     docs = table(spark, folder, "documents")
-    model = toxicity.train(toxicity.labelled(docs, table(spark, folder, "labels"), "toxic"))
+    model = toxicity.train(docs, table(spark, folder, "labels"))
     return _scored(docs, model, toxicity.score, 0.5)
 
 
@@ -80,10 +80,15 @@ def op4_topk(spark, folder):
     return topk.search(rows, rows.where(F.col("vec_id") % 20 == 0), 20, 64.0)
 
 
+@query("op6_urls")
+def op6_urls(spark, folder):
+    return urlfilter.judge(table(spark, folder, "pages"))
+
+
 @query("op7_quality")
 def op7_quality(spark, folder):
     docs = table(spark, folder, "documents")
-    model = quality.train(toxicity.labelled(docs, table(spark, folder, "labels"), "quality"))
+    model = quality.train(docs, table(spark, folder, "labels"))
     return _scored(docs, model, quality.score, 0.3)
 
 
