@@ -8,11 +8,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from storyloom.session import Workspace
 
 from .textblocks import SPACES, Block, Hasher, blocks, distinct_per_row, per_row, words
+from .toxicity import marked
 
 #: Labelled documents learnt from at most, the first by a hash of the id.
 SAMPLE = 60_000
@@ -53,14 +53,9 @@ def statistics(block: Block) -> np.ndarray:
 
     hasher = Hasher(block.lower())
     hashes = hasher.pieces(starts, ends)
-    _, owner = distinct_per_row(hashes, rows)
-    order = np.lexsort((hashes, rows))
-    new = np.ones(len(order), bool)
-    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (rows[order][1:] != rows[order][:-1])
-    firsts = np.flatnonzero(new)
-    runs = np.diff(np.append(firsts, len(order)))
+    _, owner, runs = distinct_per_row(hashes, rows)
     top = np.zeros(n)
-    np.maximum.at(top, rows[order][firsts], runs)
+    np.maximum.at(top, owner, runs)
     out["log_words"], out["log_bytes"] = np.log1p(counts), np.log1p(block.lengths)
     out["mean_word"], out["long_words"], out["short_words"] = mean(lengths), mean(lengths > 12), mean(lengths < 4)
     out["distinct_words"], out["top_word"] = np.bincount(owner, minlength=n) / some, top / some
@@ -75,7 +70,7 @@ def statistics(block: Block) -> np.ndarray:
     out["marks_in_words"] = mean((marks[ends] - marks[starts]) > 1)
     pair = hashes[:-1] * np.uint64(3) + hashes[1:] if len(hashes) > 1 else hashes[:0]
     near = rows[:-1] == rows[1:] if len(rows) > 1 else np.zeros(0, bool)
-    _, pair_owner = distinct_per_row(pair[near], rows[1:][near] if len(rows) > 1 else rows[:0])
+    _, pair_owner, _ = distinct_per_row(pair[near], rows[1:][near] if len(rows) > 1 else rows[:0])
     out["repeated_pairs"] = 1 - np.bincount(pair_owner, minlength=n) / np.maximum(counts - 1, 1)
     out["repeated_pairs"][counts < 2] = 0
     breaks = np.zeros(256, bool)
@@ -85,7 +80,7 @@ def statistics(block: Block) -> np.ndarray:
     line_at, line_end = words(cut, breaks)
     lines = per_row(line_at, block.offsets)
     line_rows = np.repeat(np.arange(n), lines)
-    _, line_owner = distinct_per_row(hasher.pieces(line_at, line_end), line_rows)
+    _, line_owner, _ = distinct_per_row(hasher.pieces(line_at, line_end), line_rows)
     many = np.maximum(lines, 1)
     out["log_lines"] = np.log1p(lines)
     out["mean_line"] = np.log1p(np.bincount(line_rows, weights=line_end - line_at, minlength=n) / many)
@@ -147,17 +142,14 @@ def _summed(rows: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model from (doc_id, text, label), label 0 or 1.
+def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE) -> Model:
+    """Model from docs (doc_id, text) and labels (doc_id, column), picked by ``toxicity.marked``.
 
-    The first ``sample`` rows by a hash of the id are used, a documented bound. Means, spreads, normal equations and the
-    calibration histogram are sums over partitions; what reaches the driver is as large as the parameters say. One row in
-    ``HELD`` calibrates and does not fit. Without rows every score is 0.5.
+    Means, spreads, normal equations and the calibration histogram are sums over partitions; what reaches the driver is as
+    large as the parameters say. One row in ``HELD`` calibrates and does not fit. Without rows every score is 0.5.
     """
-    spark = labelled.sparkSession
-    picked = labelled.where(F.col("label").isin(0, 1)).select(
-        F.xxhash64(F.col("doc_id").cast("string")).alias("key"), F.col("label").cast("int"), F.col("text").cast("string")) \
-        .orderBy("key", "label", "text").limit(sample)
+    spark = docs.sparkSession
+    picked = marked(docs, labels, column, sample)
 
     def extract(batches):
         for block in blocks(batches):

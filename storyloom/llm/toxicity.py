@@ -18,7 +18,7 @@ from .textblocks import MARKS, Block, Hasher, blocks, mix, per_row, words
 #: Features are hashed to this many coordinates: the weights have a fixed size, whatever the corpus.
 BITS = 20
 #: At most so many labelled documents are learnt from (the first by a hash of the id).
-SAMPLE = 40_000
+SAMPLE = 20_000
 #: Parts of the sample that are learnt side by side, and rounds after which their states are averaged.
 SHARDS, ROUNDS = 6, 4
 #: Rates and penalties: per-coordinate step alpha, beta; lambda1, lambda2.
@@ -87,44 +87,49 @@ def _pass(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray, orde
         n[last] += g * g
 
 
-def train(labelled: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> Model:
-    """Model from (doc_id, text, label); rows without a label of 0 or 1 teach nothing.
+def marked(docs: DataFrame, labels: DataFrame, column: str, sample: int, folds: int = 5) -> DataFrame:
+    """key, label and text of the documents to learn from.
 
-    Learns from the ``sample`` first rows by a hash of the id, a documented bound. Presence of a feature counts, not how
-    often it occurs, so long texts are not favoured. The sample is dealt over ``SHARDS`` parts by that hash; each part goes
-    on from the averaged state of all parts, ``ROUNDS`` times. A part returns only the coordinates that it touched.
-    Without rows of both labels the model is an intercept.
+    Ids whose crc32 as text is 0 modulo ``folds`` teach nothing, nor do labels other than 0 and 1. Of the rest the first
+    ``sample`` by a hash of the id are taken, the documented bound, which also bounds what is broadcast to find their texts.
+    A document with several labels teaches each once; a label without a document is passed over.
     """
-    spark = labelled.sparkSession
-    picked = labelled.where(F.col("label").isin(0, 1)).select(
-        F.xxhash64(F.col("doc_id").cast("string")).alias("key"), F.col("label").cast("int"), F.col("text").cast("string")) \
-        .orderBy("key", "label", "text").limit(sample) \
-        .withColumn("part", F.pmod("key", F.lit(SHARDS)).cast("int"))
+    room = Workspace(docs.sparkSession, "marked")
+    marks = labels.select(F.col("doc_id").alias("marked"), F.col(column).cast("int").alias("label")) \
+        .where(F.col("label").isin(0, 1) & (fold(F.col("marked"), folds) != 0)).distinct() \
+        .select("marked", "label", F.xxhash64(F.col("marked").cast("string")).alias("key")) \
+        .orderBy("key", "label").limit(sample)
+    marks = room.save(marks, "marks")
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")) \
+        .join(F.broadcast(marks), F.col("id") == F.col("marked")).select("key", "label", "text")
 
-    def extract(batches):
-        for block in blocks(batches):
-            found, owner = features(block, bits)
-            both = np.unique(owner.astype(np.int64) << np.int64(bits) | found)
-            counts = np.bincount(both >> bits, minlength=len(block))
-            raw = (both & ((1 << bits) - 1)).astype(np.int32).tobytes()
-            ends = np.concatenate([[0], np.cumsum(counts)]) * 4
-            yield pa.RecordBatch.from_arrays(
-                [block.rows.column("key"), block.rows.column("label"), block.rows.column("part"),
-                 pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())],
-                names=["key", "label", "part", "at"])
 
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bits: int = BITS, sample: int = SAMPLE) -> Model:
+    """Model from docs (doc_id, text) and labels (doc_id, column), see ``marked``.
+
+    Presence of a feature counts, not how often it occurs, so long texts are not favoured. The sample is dealt over
+    ``SHARDS`` parts by a hash of the id; each part goes on from the averaged state of all parts, ``ROUNDS`` times, and
+    returns only the coordinates that it touched. Without rows to learn from every score is 0.5.
+    """
+    spark = docs.sparkSession
     rows = Workspace(spark, "toxicity").save(
-        picked.mapInArrow(extract, "key long, label int, part int, at binary"), "features")
+        marked(docs, labels, column, sample).withColumn("part", F.pmod("key", F.lit(SHARDS)).cast("int")), "sample")
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for turn in range(ROUNDS):
         held = spark.sparkContext.broadcast((np.flatnonzero(n), z[n > 0], n[n > 0]))
 
         def learn(key, frame):
-            frame = frame.sort_values(["key", "label"], kind="stable")
+            frame = frame.sort_values(["key", "label", "text"], kind="stable")
             z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
             at, z_at, n_at = held.value
             z[at], n[at] = z_at, n_at
-            own = [(np.frombuffer(a, np.int32), y) for a, y in zip(frame["at"], frame["label"])]
+            own = []
+            for block in blocks(pa.Table.from_pandas(frame[["text", "label"]], preserve_index=False).to_batches()):
+                found, owner = features(block, bits)
+                both = np.unique(owner.astype(np.int64) << np.int64(bits) | found)
+                ends = np.searchsorted(both >> bits, np.arange(len(block) + 1))
+                found = (both & ((1 << bits) - 1)).astype(np.int32)
+                own += [(found[a:b], y) for a, b, y in zip(ends[:-1], ends[1:], block.column("label"))]
             _pass(own, z, n, np.random.default_rng(turn).permutation(len(own)))
             at = np.flatnonzero(n)
             return pd.DataFrame({"rows": [len(own)], "at": [at.astype(np.int32).tobytes()], "z": [z[at].tobytes()],
@@ -169,13 +174,3 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keep)
     return rows.mapInArrow(run, f"{schema}, score double")
 
-
-def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int = 5) -> DataFrame:
-    """doc_id, text and label of the rows that may be learnt from: crc32 of the id, modulo folds, is not 0.
-
-    A document with several label rows teaches each of them once.
-    """
-    marks = labels.select(F.col("doc_id").alias("marked"), F.col(column).cast("int").alias("label")) \
-        .where(F.col("label").isNotNull() & (fold(F.col("marked"), folds) != 0)).distinct()
-    return docs.select("doc_id", "text").where(fold(F.col("doc_id"), folds) != 0) \
-        .join(marks, F.col("doc_id") == F.col("marked")).select("doc_id", "text", "label")
