@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, topk, toxicity, urlfilter
+from . import decontamination, mixing, neardup, quality, topk, toxicity, urlfilter
 from .tables import fold, table
 
 QUERIES: dict = {}
@@ -80,6 +80,27 @@ def op4_topk(spark, folder):
     return topk.search(rows, rows.where(F.col("vec_id") % 20 == 0), 20, 64.0)
 
 
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex({LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (
+        SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS sh FROM d WHERE len(w) >= 3
+        UNION ALL SELECT doc_id, w FROM d WHERE len(w) BETWEEN 1 AND 2)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (WITH RECURSIVE t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, min(b) AS b FROM t GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(r.b, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(r.b, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id
+"""
+
+
+@query("op5_near_duplicates", OP5_SQL)
+def op5_near_duplicates(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"), k=3, percent=85)
+
+
 @query("op6_urls")
 def op6_urls(spark, folder):
     return urlfilter.judge(table(spark, folder, "pages"))

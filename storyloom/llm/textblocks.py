@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+#: Texts of a block at most; ``distinct_per_row`` numbers them in 12 bits.
+BLOCK_ROWS = 1 << 12
 
 #: Words ``[^\x20\x09-\x0D]+``.
 SPACES = np.zeros(256, bool)
@@ -75,7 +77,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         texts = [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
         start = total = 0
         for i, text in enumerate(texts):
-            if i > start and total + len(text) > limit:
+            if i > start and (total + len(text) > limit or i - start >= BLOCK_ROWS):
                 yield Block(batch.slice(start, i - start), texts[start:i])
                 start, total = i, 0
             total += len(text)
@@ -134,13 +136,12 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
     return out, owner
 
 
-def distinct_per_row(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of each row."""
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    return values[new], owner[new]
+def distinct_per_row(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values of each row, cut to their first 52 bits; the row of each; how often it occurs there."""
+    keys = np.sort(owner.astype(np.uint64) << np.uint64(52) | values >> np.uint64(12))
+    new = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+    keys, runs = keys[new], np.diff(np.append(new, len(keys)))
+    return keys & np.uint64((1 << 52) - 1), (keys >> np.uint64(52)).astype(np.int64), runs
 
 
 def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
