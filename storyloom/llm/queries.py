@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, neardup, quality, topk, toxicity, urlfilter
+from . import ctw, decontamination, mixing, neardup, quality, topk, toxicity, urlfilter
 from .tables import fold, table
 
 QUERIES: dict = {}
@@ -113,6 +113,11 @@ def op7_quality(spark, folder):
     return _scored(docs, model, quality.score, 0.3)
 
 
+@query("op9_lm_scores")
+def op9_lm_scores(spark, folder):
+    return ctw.score(table(spark, folder, "documents"))
+
+
 @query("op10_mixing")
 def op10_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents")).select(
