@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ctw, decontamination, mixing, neardup, quality, topk, toxicity, urlfilter
+from . import ctw, decontamination, mixing, neardup, quality, suffixdedup, topk, toxicity, urlfilter
 from .tables import fold, table
 
 QUERIES: dict = {}
@@ -74,6 +74,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark, folder):
+    return suffixdedup.remove_repeats(table(spark, folder, "documents"), 50).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op4_topk", OP4_SQL)
 def op4_topk(spark, folder):
     rows = table(spark, folder, "embeddings")
