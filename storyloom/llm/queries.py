@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ctw, decontamination, mixing, neardup, quality, suffixdedup, topk, toxicity, urlfilter
+from . import ctw, decontamination, linededup, mixing, neardup, quality, suffixdedup, topk, toxicity, urlfilter
 from .tables import fold, table
 
 QUERIES: dict = {}
@@ -119,6 +119,12 @@ def op7_quality(spark, folder):
     return _scored(docs, model, quality.score, 0.3)
 
 
+@query("op8_line_dedup")
+def op8_line_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", F.col("line_count").alias("n_lines"), F.col("line_drops").alias("n_dropped"), "text")
+
+
 @query("op9_lm_scores")
 def op9_lm_scores(spark, folder):
     return ctw.score(table(spark, folder, "documents"))
