@@ -20,7 +20,9 @@ BITS = 20
 #: At most so many labelled documents are learnt from (the first by a hash of the id).
 SAMPLE = 20_000
 #: Parts of the sample that are learnt side by side, and rounds after which their states are averaged.
-SHARDS, ROUNDS = 6, 4
+SHARDS, ROUNDS = 4, 4
+#: Slices of the coordinates, each averaged by a task of its own.
+SLICES = 16
 #: Rates and penalties: per-coordinate step alpha, beta; lambda1, lambda2.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
 #: Lengths in bytes of the word beginnings that count beside the whole word.
@@ -108,21 +110,19 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bits: int =
     """Model from docs (doc_id, text) and labels (doc_id, column), see ``marked``.
 
     Presence of a feature counts, not how often it occurs, so long texts are not favoured. The sample is dealt over
-    ``SHARDS`` parts by a hash of the id; each part goes on from the averaged state of all parts, ``ROUNDS`` times, and
-    returns only the coordinates that it touched. Without rows to learn from every score is 0.5.
+    ``SHARDS`` parts by a hash of the id; each part goes on from the averaged state of all parts, ``ROUNDS`` times. States
+    are averaged in tasks, slice by slice; the driver sees one state of fixed size. Without rows to learn from every score is 0.5.
     """
     spark = docs.sparkSession
     rows = Workspace(spark, "toxicity").save(
         marked(docs, labels, column, sample).withColumn("part", F.pmod("key", F.lit(SHARDS)).cast("int")), "sample")
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for turn in range(ROUNDS):
-        held = spark.sparkContext.broadcast((np.flatnonzero(n), z[n > 0], n[n > 0]))
+        held = spark.sparkContext.broadcast((z, n))
 
         def learn(key, frame):
             frame = frame.sort_values(["key", "label", "text"], kind="stable")
-            z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-            at, z_at, n_at = held.value
-            z[at], n[at] = z_at, n_at
+            z, n = (x.copy() for x in held.value)
             own = []
             for block in blocks(pa.Table.from_pandas(frame[["text", "label"]], preserve_index=False).to_batches()):
                 found, owner = features(block, bits)
@@ -131,29 +131,35 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bits: int =
                 found = (both & ((1 << bits) - 1)).astype(np.int32)
                 own += [(found[a:b], y) for a, b, y in zip(ends[:-1], ends[1:], block.column("label"))]
             _pass(own, z, n, np.random.default_rng(turn).permutation(len(own)))
-            at = np.flatnonzero(n)
-            return pd.DataFrame({"rows": [len(own)], "at": [at.astype(np.int32).tobytes()], "z": [z[at].tobytes()],
-                                 "n": [n[at].tobytes()]})
-
-        got = rows.groupBy("part").applyInPandas(learn, "rows long, at binary, z binary, n binary").collect()
-        held.unpersist()
+            slots = np.array_split(np.arange(len(z)), SLICES)
+            return pd.DataFrame({"slice": range(SLICES), "rows": len(own), "z": [z[s].astype(np.float32).tobytes() for s in slots],
+                                 "n": [n[s].astype(np.float32).tobytes() for s in slots]})
+
+        def average(key, frame):
+            frame = frame.sort_values(["rows", "z"], kind="stable")
+            z, n = (sum(r * np.frombuffer(x, np.float32).astype(float) for r, x in zip(frame["rows"], frame[c])) / max(frame["rows"].sum(), 1)
+                    for c in ("z", "n"))
+            return pd.DataFrame({"slice": [key[0]], "rows": [1], "z": [z.tobytes()], "n": [n.tobytes()]})
+
+        state = "slice long, rows long, z binary, n binary"
+        merged = rows.groupBy("part").applyInPandas(learn, state).groupBy("slice").applyInPandas(average, state)
         z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-        total = sum(r["rows"] for r in got)
-        for r in sorted(got, key=lambda r: (r["rows"], bytes(r["at"]))):
-            at, share = np.frombuffer(r["at"], np.int32), r["rows"] / total
-            z[at] += share * np.frombuffer(r["z"], np.float64)
-            n[at] += share * np.frombuffer(r["n"], np.float64)
+        ends = np.cumsum([0, *map(len, np.array_split(np.arange(len(z)), SLICES))])
+        for r in merged.select("slice", "z", "n").toLocalIterator():
+            z[ends[r["slice"]]:ends[r["slice"] + 1]] = np.frombuffer(r["z"], np.float64)
+            n[ends[r["slice"]]:ends[r["slice"] + 1]] = np.frombuffer(r["n"], np.float64)
+        held.unpersist()
     w = _weights(z[:-1], n[:-1])
     at = np.flatnonzero(w)
     bias = float(-z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA))
     return Model(at.astype(np.int32), w[at].astype(np.float32), bias, bits)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and score, the probability of label 1, of every row; the whole text counts.
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The kept columns and ``name``, the probability of label 1, of every row; the whole text counts.
 
     A null, empty or wordless text gets the intercept's score. Rows that repeat get the same score. Columns of docs that are
-    not kept are not read, so their names can't clash; a kept column must not be called ``score``.
+    not kept are not read, so their names can't clash; no kept column may have that name.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -168,9 +174,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             sums = np.bincount(both >> bits, weights=dense[both & ((1 << bits) - 1)], minlength=len(block)) + model.bias
             columns = [block.rows.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(1.0 / (1.0 + np.exp(-np.clip(sums, -700, 700))))],
-                                             names=[*keep, "score"])
+                                             names=[*keep, name])
 
     rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keep)
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, f"{schema}, `{name}` double")
 
