@@ -124,6 +124,6 @@ def clean(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
 
     Items shorter than n words are searched whole, as above. Rows without an id can't be told apart and stay.
     """
-    _, _, hits = find(docs, items, n)
-    bad = hits.select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["hit_id"], "left_anti")
+    index, _, hits = find(docs, items, n)
+    bad = index.room.save(hits.select(F.col("doc_id").alias("hit_id")).distinct(), "bad")
+    return docs.join(_small(bad), docs["doc_id"] == bad["hit_id"], "left_anti")

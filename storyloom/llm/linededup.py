@@ -102,8 +102,10 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
     return room.save(dropped.groupBy("doc", "digest").agg(F.collect_set("no").alias("numbers")), "numbers")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, spare: float | None = None) -> DataFrame:
-    """The rows of docs, all columns in order, with the text cut to its kept lines, and behind them line_count, line_drops.
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, spare: float | None = None,
+                names: tuple[str, str] = ("line_count", "line_drops")) -> DataFrame:
+    """The rows of docs, all columns in order, with the text cut to its kept lines, and behind them the numbers of lines
+    and of dropped lines, called as ``names`` says.
 
     A line goes if an equal line has an earlier place (smaller doc_id, then smaller line number), or if it has ``least`` or more
     characters and so has another line within ``edits`` edits (insertions, deletions, exchanged characters), whether or not that one
@@ -111,13 +113,13 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, spare:
     would go is left whole: it is a copy, a matter of near-duplicate search, not of boilerplate.
     A null text stays null and has no lines; an empty one has one, blank. Rows of one doc_id stand at one place: their lines are no
     repeats of each other at equal numbers; a row without an id comes last. Empty tables give empty results. If docs has columns of the two
-    names, docs' own are left out.
+    names, docs' own are left out; give other names then.
     """
     numbers = repeated_lines(docs, edits, least)
     size = numbers.agg(F.coalesce(F.sum(F.size("numbers") + 8), F.lit(0))).collect()[0][0]
     held = F.broadcast(numbers) if size <= 4 * SMALL else numbers
     text = F.col("text").cast("string")
-    own = [c for c in docs.columns if c not in ("line_count", "line_drops")]
+    own = [c for c in docs.columns if c not in names]
     left = docs.select(*own)
     # names that docs can't have
     free = "_" * (1 + max(map(len, own)))
@@ -133,5 +135,5 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, spare:
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(drops), i)), "\n")
     return rows.withColumn(count, gone).select(
         *(F.when(F.col(count) > 0, kept).otherwise(text).alias("text") if c == "text" else F.col(c) for c in own),
-        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("line_count"),
-        F.col(count).cast("long").alias("line_drops"))
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias(names[0]),
+        F.col(count).cast("long").alias(names[1]))
