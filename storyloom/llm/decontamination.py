@@ -76,11 +76,13 @@ class Index:
             .select("doc_id", "window", start.alias("start"), "n")
 
     def proximity(self, slack: int = 3) -> DataFrame:
-        """doc_id, window, pos, n: places where all words of a window, in any order, lie within ``slack`` further words
-        before and behind where they would lie around its rarest term. slack must not pass the index's reach beyond n."""
-        low = F.greatest(F.col("pos") - F.col("offset") - slack - F.col("first"), F.lit(0))
-        high = F.col("pos") - F.col("offset") + F.col("n") + slack - F.col("first")
-        around = F.slice("near", low + 1, high - low)
+        """doc_id, window, pos, n: places of a window's rarest term where all its n words, in any order, lie within n - 1 + slack
+        words before and behind. The index must reach as far, else ValueError."""
+        if self.windows.where(F.col("n") - 1 + slack > self.reach).limit(1).count():
+            raise ValueError("slack passes the reach of the index")
+        away = F.col("n") - 1 + slack
+        low = F.greatest(F.col("pos") - away - F.col("first"), F.lit(0))
+        around = F.slice("near", low + 1, F.col("pos") + away - F.col("first") - low + 1)
         return self.postings.join(_small(self.windows), "term") \
             .where(F.size(F.array_except("words", around)) == 0).select("doc_id", "window", "pos", "n")
 

@@ -152,7 +152,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 6
     spark = vectors.sparkSession
     room = Workspace(spark, "topk")
     rows, asked = usable(vectors), usable(queries)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.floor(x * scale) * F.floor(x * scale))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.pow(F.abs(x) * scale + 1, F.lit(2.0)))
     about = [df.agg(F.count(F.lit(1)), F.max(F.size("embedding")), F.max(norm), F.min("vec_id"), F.max("vec_id")).collect()[0]
              for df in (rows, asked)]
     width = max(1, *(a[1] or 0 for a in about))
