@@ -279,9 +279,13 @@ def rank_in_pools(df: DataFrame, score: str, pool_order: str, pools=(22, 50, 100
 
 
 def order_violations(df: DataFrame, rank: str, score: str, by=()) -> DataFrame:
-    """Rows whose successor scores higher."""
-    w = Window.partitionBy(*by).orderBy(rank)
-    return df.withColumn("next_score", F.lead(score).over(w)).filter(F.col("next_score") > F.col(score))
+    """Rows whose successor in the group scores higher; a group of any size is numbered by ranges and joined with itself."""
+    from storyloom.operators.ranks import positions
+
+    placed = positions(df, [*[F.col(c) for c in by], F.col(rank)], "_at")
+    following = placed.select((F.col("_at") - 1).alias("_before"), F.struct(*by).alias("_group"), F.col(score).alias("next_score"))
+    return placed.join(following, (F.col("_at") == F.col("_before")) & F.struct(*by).eqNullSafe(F.col("_group"))) \
+        .filter(F.col("next_score") > F.col(score)).drop("_at", "_before", "_group")
 
 
 def card_sources(articles: DataFrame, key="card_id", order="ord") -> DataFrame:

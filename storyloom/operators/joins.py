@@ -69,15 +69,18 @@ def gazetteer_rows(spark, entries: dict[str, list[str]] | None = None) -> DataFr
 def detect_states(df: DataFrame, gazetteer: DataFrame, key: str, text) -> DataFrame:
     """(key, state) by the first gazetteer state with a delimited keyword in the text.
 
-    The words of a text are joined with the first words of the keywords, and
-    only such hits are tested; the text is read once however long the list.
+    Only the words of a text that start a keyword leave it, so a text is
+    copied for those alone; such hits are tested.
     """
+    starts = gazetteer.select(F.get(words(F.lower("keyword")), F.lit(0)).alias("word")).distinct() \
+        .agg(F.sort_array(F.collect_list("word"))).collect()[0][0]
     gaz = gazetteer.select(
         F.lower("keyword").alias("keyword"), F.col("state").alias("found"), "ord",
-        F.get(words(F.col("keyword")), F.lit(0)).alias("word"),
+        F.get(words(F.lower("keyword")), F.lit(0)).alias("word"),
     )
     low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    rows = df.select(key, low.alias("_low"), F.explode(F.array_distinct(words(text))).alias("word"))
+    rows = df.select(key, low.alias("_low"), F.explode(
+        F.array_intersect(words(F.lower(text)), F.array(*map(F.lit, starts)).cast("array<string>"))).alias("word"))
     # the delimiters that may stand before and after a keyword
     before, after = r"[\s,.\-:'\"(\[{]", r"[\s,.\-:'\")!\]}]"
     quoted = F.regexp_replace("keyword", r"([^\p{L}\p{N}_ ])", r"\\$1")
@@ -89,7 +92,9 @@ def merge_master(old: DataFrame, new: DataFrame, keys=("id", "canonical_url", "h
     """Union of cached and fresh cards; the fresh card of a key wins."""
     tagged = old.withColumn("_fresh", F.lit(0)).unionByName(new.withColumn("_fresh", F.lit(1)), True)
     key = F.coalesce(*[F.when(text_or_empty(F.col(k).cast("string")) != "", F.col(k).cast("string")) for k in keys])
-    w = Window.partitionBy("_key").orderBy(F.desc("_fresh"))
+    # a total order: of equally fresh cards the last by all columns wins
+    rest = [F.desc_nulls_last(c) for c, kind in sorted(tagged.dtypes) if c != "_fresh" and "map<" not in kind]
+    w = Window.partitionBy("_key").orderBy(F.desc("_fresh"), *rest)
     return (
         tagged.withColumn("_key", key).filter("_key is not null")
         .withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_key", "_fresh")

@@ -166,17 +166,17 @@ def _citations(spark, folder):
         F.col("id").alias("article_id"), "title", "raw_text", F.concat_ws("\n", "title", "raw_text").alias("text"))
     verified = V.sources(spark, folder).select("source_id", "verified_local_source")
     return (
-        V.card_sources(spark, folder).filter("ord = 1").join(arts, "article_id").join(verified, "source_id")
-        .select(F.expr("card_id div 10").alias("cluster_id"), F.col("card_id").alias("ord"), "source_id", "name", "url", "trust_tier",
+        V.card_sources(spark, folder).join(arts, "article_id").join(verified, "source_id")
+        .select(F.expr("card_id div 10").alias("cluster_id"), F.expr("card_id * 10 + ord").alias("ord"), "source_id", "name", "url", "trust_tier",
                 "verified_local_source", F.when(F.col("card_id") % 6 == 0, "PTI").alias("wire"), "text", "title", "raw_text")
     )
 
 
 _CITATIONS_SQL = V.CARD_SOURCES_SQL + f""",
-q_v AS MATERIALIZED (SELECT x.card_id // 10 AS cluster_id, x.card_id AS id, x.source_id, x.name, x.url, x.trust_tier, s.verified_local_source,
+q_v AS MATERIALIZED (SELECT x.card_id // 10 AS cluster_id, x.card_id * 10 + x.ord AS id, x.source_id, x.name, x.url, x.trust_tier, s.verified_local_source,
   CASE WHEN x.card_id % 6 = 0 THEN 'PTI' END AS wire, {Q.publisher_entity('x.name', 'x.url')} AS entity,
   lower({Q.collapse("a.title || chr(10) || a.raw_text")}) AS t
-  FROM card_sources_v x JOIN articles_v a ON a.id = x.article_id JOIN sources_v s ON s.source_id = x.source_id WHERE x.ord = 1),
+  FROM card_sources_v x JOIN articles_v a ON a.id = x.article_id JOIN sources_v s ON s.source_id = x.source_id),
 ok_v AS MATERIALIZED (SELECT * FROM q_v WHERE entity NOT IN {Q.in_list(K.UNRESOLVED_ENTITIES)}),
 ip AS MATERIALIZED (SELECT l.id AS a, r.id AS b FROM ok_v l JOIN ok_v r ON l.cluster_id = r.cluster_id AND l.id < r.id),
 {_terms('i', 'ok_v', 't')},
@@ -218,13 +218,14 @@ def valid_sources(spark, folder):
 _FACT = r"(\d+(?:\.\d+)?)\s+([a-zA-Z]+)"
 _CONFLICTS = f"""fact_v AS (SELECT cluster_id, unnest(regexp_extract_all(low, '{_FACT}', 2)) AS label,
   CAST(unnest(regexp_extract_all(low, '{_FACT}', 1)) AS DOUBLE) AS v FROM (
-  SELECT id // 10 AS cluster_id, lower(title || ' ' || raw_text || ' ' || (id % 3 + 400) || ' staff and ' || (id % 7 + 2) || ' sites') AS low FROM articles_v)),
+  SELECT id // 10 AS cluster_id, lower(title || ' ' || raw_text || ' ' || (id % 3 + 400) || ' staff and ' || CASE WHEN id // 10 % 3 = 0 THEN id % 7 + 2 ELSE 5 END || ' sites') AS low FROM articles_v)),
 conflict_v AS (SELECT cluster_id, label, min(v) AS low, max(v) AS high FROM fact_v GROUP BY 1, 2
   HAVING count(*) >= 2 AND abs(max(v) - min(v)) / greatest(abs(min(v)), abs(max(v)), 1e-9) > 0.20)"""
 
 
 def _fact_articles(spark, folder):
-    planted = F.concat(F.lit(" "), (F.col("id") % 3 + 400).cast("string"), F.lit(" staff and "), (F.col("id") % 7 + 2).cast("string"), F.lit(" sites"))
+    planted = F.concat(F.lit(" "), (F.col("id") % 3 + 400).cast("string"), F.lit(" staff and "),
+                       F.expr("if(id div 10 % 3 = 0, id % 7 + 2, 5)").cast("string"), F.lit(" sites"))
     return V.articles(spark, folder).select(F.expr("id div 10").alias("cluster_id"), "title", F.concat("raw_text", planted).alias("raw_text"))
 
 
@@ -244,7 +245,7 @@ ev AS (SELECT cluster_id, count(*) AS source_count,
     coalesce(bool_or(entity NOT IN {Q.in_list(K.UNRESOLVED_ENTITIES)} AND NOT (trust_tier = '1' AND id % 4 = 0) AND trust_tier IN ('1', '2')), false) AS has_trusted
   FROM q_v GROUP BY 1),
 gr AS (SELECT cluster_id, count(DISTINCT group_ord) AS g FROM group_v GROUP BY 1),
-nt AS (SELECT cluster_id, string_agg('Reports differ on ' || label, ';' ORDER BY 'Reports differ on ' || label) AS notes FROM conflict_v WHERE cluster_id % 3 = 0 GROUP BY 1),
+nt AS (SELECT cluster_id, string_agg('Reports differ on ' || label, ';' ORDER BY 'Reports differ on ' || label) AS notes FROM conflict_v GROUP BY 1),
 z AS (SELECT ev.*, coalesce(g, 0) AS g, notes, {_SCOPE} AS scope FROM ev LEFT JOIN gr USING (cluster_id) LEFT JOIN nt USING (cluster_id))
 SELECT cluster_id, source_count, valid_sources, g AS independent_groups,
   (scope = 'local' AND official_local >= 1) OR (valid_sources >= 2 AND g >= 2 AND has_trusted) AS eligible,
@@ -255,7 +256,7 @@ def evaluate_clusters(spark, folder):
     """Eligibility, conflict flags and verification type per cluster."""
     cites = _citations(spark, folder).withColumn("trust_tier", F.when(
         (F.col("trust_tier") == "1") & (F.col("ord") % 4 == 0), "official_local").otherwise(F.col("trust_tier")))
-    facts = _fact_articles(spark, folder).filter("cluster_id % 3 = 0")
+    facts = _fact_articles(spark, folder)
     scopes = cites.select("cluster_id").distinct().selectExpr("cluster_id", "if(cluster_id % 4 = 0, 'local', 'national') as scope")
     out = C.evaluate_clusters(cites, facts, scopes)
     return out.withColumn("conflict_notes", F.array_join("conflict_notes", ";"))

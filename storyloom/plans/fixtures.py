@@ -224,13 +224,14 @@ USERS_SQL = f"""users_v AS (
 
 def marks(spark, folder) -> DataFrame:
     """Cards seen by readers."""
+    cards = max(1, table(spark, folder, "documents").count())
     return table(spark, folder, "events").filter("event_type in ('view', 'click')").selectExpr(
-        "user_id as device_id", "event_id % 997 as card_id", "event_type as mark"
+        "user_id as device_id", f"event_id % {cards} as card_id", "event_type as mark"
     ).distinct()
 
 
 MARKS_SQL = """marks_v AS (
-  SELECT DISTINCT user_id AS device_id, event_id % 997 AS card_id, event_type AS mark
+  SELECT DISTINCT user_id AS device_id, event_id % greatest((SELECT count(*) FROM documents), 1) AS card_id, event_type AS mark
   FROM events WHERE event_type IN ('view', 'click'))"""
 
 

@@ -275,13 +275,12 @@ def best_per_cluster(spark, folder):
 @query("order_feed", "WITH " + SQ.PUBLIC_SQL + f"""
 SELECT card_id, CAST(row_number() OVER (ORDER BY CASE WHEN lower(state) = 'goa' THEN 2
   WHEN contains(lower(headline || ' ' || coalesce(district, '')), 'goa') THEN 1 ELSE 0 END DESC, {_FEED_ORDER_SQL}) AS BIGINT) AS position
-FROM scored_v ORDER BY position LIMIT 100""")
+FROM scored_v""")
 def order_feed(spark, folder):
-    """First hundred places of the state tab."""
-    top = R.order_feed(_ranked(spark, folder), "Goa", state_tab=True).limit(100)
+    """All places of the state tab."""
     order = [R.state_priority(F.col("state"), F.col("headline"), F.col("district"), F.lit("Goa")).desc(),
              F.desc("final_feed_score"), R.epoch("published_at").desc(), R.epoch("created_at").desc(), F.desc("card_id")]
-    return top.select("card_id", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("position"))
+    return positions(_ranked(spark, folder), order).select("card_id", F.col("position").cast("bigint").alias("position"))
 
 
 @query("feed_page", "WITH " + SQ.PUBLIC_SQL + f"""
@@ -295,9 +294,9 @@ def feed_page(spark, folder):
 
 @query("order_violations", "WITH " + V.CARDS_SQL + """
 SELECT card_id, score, next_score FROM (SELECT card_id, priority_score AS score,
-  lead(priority_score) OVER (PARTITION BY category ORDER BY card_id) AS next_score FROM cards_v) WHERE next_score > score""")
+  lead(priority_score) OVER (PARTITION BY state ORDER BY card_id) AS next_score FROM cards_v) WHERE next_score > score""")
 def order_violations(spark, folder):
-    return R.order_violations(V.cards(spark, folder), "card_id", "priority_score", ("category",)).select(
+    return R.order_violations(V.cards(spark, folder), "card_id", "priority_score", ("state",)).select(
         "card_id", F.col("priority_score").alias("score"), "next_score")
 
 

@@ -232,10 +232,14 @@ def tag_language_query(spark, folder):
 
 # --- streams, drained over the landed files ------------------------------------------------------
 
-def _drained(spark, stream, name):
+def _flow_folder(spark):
     import uuid
 
-    return T.drain(stream, name, f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}"
+
+
+def _drained(spark, stream, name):
+    return T.drain(stream, name, _flow_folder(spark))
 
 
 def _stream(spark, folder, name):
@@ -249,12 +253,21 @@ def _stream(spark, folder, name):
 
 
 @query("stream_dedup_urls", r"""
-SELECT count(*) AS n, count(DISTINCT u) AS urls FROM (SELECT DISTINCT regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '') AS u FROM pages)""")
+SELECT u AS url FROM (SELECT DISTINCT regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '') AS u FROM pages)""")
 def stream_dedup_urls(spark, folder):
     stream = _stream(spark, folder, "pages").withColumn("url", F.regexp_extract("url", r"^([^?#]*)", 1)).withColumn(
         "ingested_at", F.timestamp_seconds(F.lit(1706659200) + F.col("page_id")))
-    out = _drained(spark, T.dedup_urls(T.normalized(stream)).select("page_id", "url"), "urls")
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("url").alias("urls"))
+    return _drained(spark, T.dedup_urls(T.normalized(stream)).select("url"), "urls")
+
+
+@query("stream_ingest", r"""
+SELECT DISTINCT regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '') AS url FROM pages""")
+def stream_ingest(spark, folder):
+    """Addresses that a stream of pages adds to an empty table."""
+    stream = T.normalized(_stream(spark, folder, "pages").select("page_id", F.regexp_extract("url", r"^([^?#]*)", 1).alias("url")))
+    at = _flow_folder(spark)
+    T.ingest_batches(stream, f"{at}/out", f"{at}/state", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("url")
 
 
 @query("stream_run_metrics", "WITH " + V.RUNS_SQL + """,
@@ -290,12 +303,11 @@ def _article_stream(spark, folder):
 
 
 @query("stream_late_rows", _BASE + f"""
-SELECT CASE WHEN published_at >= TIMESTAMP '{V.AS_OF}' - INTERVAL 72 HOURS THEN 'kept' ELSE 'side' END AS lane, count(*) AS n FROM articles_v GROUP BY 1""")
+SELECT CASE WHEN published_at >= TIMESTAMP '{V.AS_OF}' - INTERVAL 72 HOURS THEN 'kept' ELSE 'side' END AS lane, id FROM articles_v""")
 def stream_late_rows(spark, folder):
     kept, late = T.split_late(_article_stream(spark, folder).select("id", "published_at"), V.AS_OF)
-    n = F.count(F.lit(1)).alias("n")
-    return _drained(spark, kept, "kept").agg(n).select(F.lit("kept").alias("lane"), "n").union(
-        _drained(spark, late, "late").agg(n).select(F.lit("side").alias("lane"), "n"))
+    return _drained(spark, kept, "kept").select(F.lit("kept").alias("lane"), "id").union(
+        _drained(spark, late, "late").select(F.lit("side").alias("lane"), "id"))
 
 
 @query("stream_topics", rf"""
@@ -306,12 +318,8 @@ SELECT {Q.stamp('until')} AS until, topic, count(*) AS mentions FROM h GROUP BY
 def stream_topics(spark, folder):
     """Mentions in sliding day windows, all windows given."""
     cards = _article_stream(spark, folder).select(F.col("ingested_at").alias("created_at"), F.lit("").alias("headline"), "summary")
-    import uuid
-
-    name = f"topics_{uuid.uuid4().hex}"
-    q = T.sliding_topics(cards).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(stamp("until").alias("until"), "topic", "mentions")
+    out = T.drain_complete(T.sliding_topics(cards), "topics", _flow_folder(spark))
+    return out.select(stamp("until").alias("until"), "topic", "mentions")
 
 
 @query("stream_match_window", """
@@ -344,3 +352,27 @@ def fetch_status(spark, folder):
                                         F.col("articles_ingested").alias("items_found"), "run_id")
     out = T.fetch_status(runs.filter("run_id % 2 = 0"), runs.filter("run_id % 2 = 1"))
     return out.select("source", stamp("last_fetched_at").alias("last_fetched_at"), "items_found")
+
+
+@query("stream_fan_out", _BASE + """
+SELECT c_custkey AS chat_id, id FROM customer, (SELECT id FROM articles_v ORDER BY ingested_at DESC, id DESC LIMIT 5)""")
+def stream_fan_out(spark, folder):
+    """New items of a stream for every subscriber; all files land in one batch."""
+    items = _article_stream(spark, folder).select("id", "title", F.col("ingested_at").alias("fetched_at"))
+    chats = V.table(spark, folder, "customer").select(F.col("c_custkey").alias("chat_id"))
+    at = _flow_folder(spark)
+    T.fan_out_batches(items, chats, f"{at}/out", f"{at}/state", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("chat_id", "id")
+
+
+@query("stream_fetch_status", "WITH " + V.RUNS_SQL + f"""
+SELECT provider AS source, {Q.stamp('max(timestamp)')} AS last_fetched_at, arg_max(articles_ingested, timestamp) AS items_found FROM runs_v GROUP BY 1""")
+def stream_fetch_status(spark, folder):
+    """Latest status per source that a stream of runs leaves."""
+    runs = _stream(spark, folder, "events").selectExpr(
+        "event_type as source", "ts as last_fetched_at", "cast(user_id % 4 as bigint) as items_found", "event_id as run_id")
+    at = _flow_folder(spark)
+    T.status_batches(runs, f"{at}/out", f"{at}/state", availableNow=True).awaitTermination()
+    out = spark.read.parquet(f"{at}/out")
+    last = out.agg(F.max("batch_no")).collect()[0][0]
+    return out.filter(F.col("batch_no") == last).select("source", stamp("last_fetched_at").alias("last_fetched_at"), "items_found")

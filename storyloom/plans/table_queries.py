@@ -68,9 +68,9 @@ def state_desk(spark, folder):
 
 
 @query("feed_legacy", "WITH " + V.CARDS_SQL + """
-SELECT card_id FROM cards_v WHERE verified_status = 'published' AND category IN ('World', 'Health') AND district = 'pune'""")
+SELECT card_id FROM cards_v WHERE verified_status = 'published' AND category IN ('Technology', 'Science', 'Politics', 'World') AND district = 'pune'""")
 def feed_legacy(spark, folder):
-    return P.feed_legacy(V.cards(spark, folder), ["World", "Health"], district="pune").select("card_id")
+    return P.feed_legacy(V.cards(spark, folder), ["Technology", "Science", "Politics", "World"], district="pune").select("card_id")
 
 
 @query("boosted_feed", "WITH " + V.CARDS_SQL + """,

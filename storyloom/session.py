@@ -13,8 +13,8 @@ def pin_session(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cpus: str = "8", app: str = "storyloom", memory: str = "16g") -> SparkSession:
-    """A single-machine session for tests and the bench."""
-    spark = (
+    """A single-machine session for tests and the bench, with a shared folder of its own where the defaults name none."""
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", cpus)
@@ -23,24 +23,20 @@ def local_session(cpus: str = "8", app: str = "storyloom", memory: str = "16g")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    spark = builder.getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.stop()
+        spark = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="storyloom-")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return pin_session(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables, named by ``spark.checkpoint.dir``.
-
-    A machine-local folder is made up only for a local master with nothing set.
-    """
+    """Folder for intermediate tables, named by ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="storyloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir, when the session is built, to a folder that all executors can reach")
     return folder
 
 

@@ -48,11 +48,9 @@ def append_unique(df: DataFrame, existing: DataFrame, link: str = "link") -> Dat
 
 
 def insert_new(df: DataFrame, existing: DataFrame, link: str = "link", order=()) -> DataFrame:
-    """Only the genuinely new rows, the first of each link in the given order."""
+    """Only the genuinely new rows, the first of each link in the given order, or by all columns."""
     fresh = df.join(known_links(existing, link), link, "left_anti")
-    if not order:
-        return fresh.dropDuplicates([link])
-    w = Window.partitionBy(link).orderBy(*order)
+    w = Window.partitionBy(link).orderBy(*(order or [c for c, kind in sorted(fresh.dtypes) if "map<" not in kind]))
     return fresh.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 

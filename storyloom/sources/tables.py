@@ -14,10 +14,12 @@ REFRESHED = [
 
 
 def upsert_cards(existing: DataFrame, new: DataFrame, key: str = "headline") -> DataFrame:
-    """Cards by headline: known ones get fresh scores, others are added."""
+    """Cards by headline: known ones get fresh scores, others are added. Of new rows with one headline the last by all columns counts."""
     columns = existing.columns
     fresh = [c for c in REFRESHED if c in new.columns and c in columns]
-    added = new.dropDuplicates([key]).select(
+    total = F.struct(*[c for c, kind in sorted(new.dtypes) if c != key and "map<" not in kind])
+    one = new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c != key]), total).alias("_r")).select(key, "_r.*")
+    added = one.select(
         key, F.struct(*[(F.col(c) if c in new.columns else F.lit(None).cast(existing.schema[c].dataType)).alias(c)
                         for c in columns if c != key]).alias("_n"))
     old = existing.select(key, F.struct(*[c for c in columns if c != key]).alias("_o"))
