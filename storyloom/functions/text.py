@@ -1,5 +1,8 @@
 """Text normalisation and measurement as Column expressions."""
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -8,19 +11,6 @@ from storyloom import constants as K
 # A maximal run of these is a word in the Unicode sense of ``\w+``.
 WORD_CHARS = r"\p{L}\p{N}_"
 
-# Named character references decoded by unescape(); "amp" has to come last.
-NAMED_ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
-    "copy": "©", "reg": "®", "trade": "™", "hellip": "…",
-    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
-    "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»",
-    "bull": "•", "middot": "·", "deg": "°", "euro": "€",
-    "pound": "£", "cent": "¢", "yen": "¥", "sect": "§",
-    "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç",
-    "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "ntilde": "ñ",
-}
-
-
 def rx(pattern: str) -> str:
     """Give a pattern Unicode-aware word, digit and space classes."""
     return "(?U)" + pattern
@@ -49,19 +39,39 @@ def norm(c) -> Column:
     return F.lower(collapse(text_or_empty(c)))
 
 
-def unescape(c) -> Column:
-    """Decode numeric and the common named character references."""
-    out = _col(c)
-    codes = F.array_distinct(F.regexp_extract_all(out, F.lit(r"&#(\d{1,6});"), F.lit(1)))
+def _references() -> dict[str, str]:
+    """All standard character references, and the numbers that stand for Windows characters, by what follows the ampersand."""
+    out = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+    for code in range(0x80, 0xA0):
+        out[f"#{code}"] = bytes([code]).decode("cp1252", "replace") if code not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(code)
+    return out
 
-    def decode(acc, code):
-        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 8, "0")), "UTF-32")
-        return F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), char)
 
-    out = F.when(F.contains(out, F.lit("&#")), F.aggregate(codes, out, decode)).otherwise(out)
-    for name, char in NAMED_ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+_REFERENCES = json.dumps(_references())
+
+
+def unescape(c) -> Column:
+    """Decode character references, each once: decimal, hexadecimal and all standard names, closed by a semicolon.
+
+    A number that is no character gives the replacement character; an unknown name stays as it is.
+    """
+    out = _col(c)
+    known = F.from_json(F.lit(_REFERENCES), "map<string,string>")
+
+    def decode(part):
+        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        is_hex, number = F.lower(F.substring(name, 1, 2)) == "#x", F.startswith(name, F.lit("#"))
+        code = F.when(is_hex, F.conv(F.substring(name, 3, 8), 16, 10)).when(number, F.substring(name, 2, 8)).cast("int")
+        real = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        plain = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(chr(0xFFFD))
+        key = F.when(number, F.concat(F.lit("#"), code.cast("string"))).otherwise(name)
+        char = F.coalesce(F.try_element_at(known, key), F.when(number, plain))
+        rest = F.substr(part, F.length(name) + 2)
+        return F.when((name != "") & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(out, "&")
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decode), ""))
+    return F.when(F.contains(out, F.lit("&")), whole).otherwise(out)
 
 
 def strip_html_basic(c) -> Column:

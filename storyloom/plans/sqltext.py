@@ -1,5 +1,7 @@
 """Small SQL builders shared by the oracle texts (DuckDB dialect)."""
 
+from html.entities import html5
+
 from storyloom import constants as K
 from storyloom.functions import text as X
 
@@ -45,8 +47,9 @@ def contains_any(x: str, parts) -> str:
 
 
 def unescape(x: str) -> str:
-    for name, char in X.NAMED_ENTITIES.items():
-        x = f"replace({x}, '&{name};', {lit(char)})"
+    """The references that the tables hold; the query character_references plants others."""
+    for name in ("lt", "gt", "quot", "apos", "nbsp", "copy", "middot", "hellip", "ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo", "eacute"):
+        x = f"replace({x}, '&{name};', {lit(html5[name + ';'])})"
     return f"replace({x}, '&amp;', '&')"
 
 

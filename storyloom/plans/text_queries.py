@@ -68,6 +68,24 @@ def strip_html_basic(spark, folder):
     return _pages(spark, folder).select("page_id", text.strip_html_basic("html").alias("body"))
 
 
+# Texts with references, and what they stand for.
+_PLANTED_REFERENCES = [
+    ("It&#x27;s", "It's"), ("It&#39;s", "It's"), ("r&iacute;o &Ntilde;and&uacute;", "río Ñandú"), ("a &lt;b&gt; c", "a <b> c"),
+    ("fish &amp; chips", "fish & chips"), ("&amp;lt;", "&lt;"), ("&#128512;&#x1F600;", "😀😀"), ("&#146;quoted&#8217;", "’quoted’"),
+    ("&nosuchname; & alone &", "&nosuchname; & alone &"), ("&#1114112;", "\ufffd"), ("5 &times; 3 &ne; 16 &rarr; x", "5 × 3 ≠ 16 → x"),
+    ("&hearts;&#X2665;", "♥♥"), ("plain", "plain"),
+]
+
+
+@query("character_references", "SELECT doc_id, text || ' ' || (" + Q.lits([b for _, b in _PLANTED_REFERENCES])
+       + f")[doc_id % {len(_PLANTED_REFERENCES)} + 1] AS body FROM (SELECT doc_id, replace(text, '&', '+') AS text FROM documents)")
+def character_references(spark, folder):
+    """Planted references behind every text."""
+    planted = F.element_at(F.array(*[F.lit(a) for a, _ in _PLANTED_REFERENCES]), (F.col("doc_id") % len(_PLANTED_REFERENCES) + 1).cast("int"))
+    rows = V.table(spark, folder, "documents").select("doc_id", F.concat_ws(" ", F.replace("text", F.lit("&"), F.lit("+")), planted).alias("t"))
+    return rows.select("doc_id", text.unescape("t").alias("body"))
+
+
 @query("clean_text", f"SELECT page_id, {Q.clean_text('html')} AS body FROM pages")
 def clean_text(spark, folder):
     return _pages(spark, folder).select("page_id", text.clean_text("html").alias("body"))
