@@ -51,9 +51,23 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        self.saved: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{label}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.saved.append((out, path))
+        return out
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables saved so far but these, which what is returned still reads."""
+        jvm, left = self.spark._jvm, []
+        for table, path in self.saved:
+            if any(table is x for x in tables):
+                left.append((table, path))
+            else:
+                target = jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.saved = left
