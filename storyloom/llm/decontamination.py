@@ -113,6 +113,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
         .select("doc_id", F.col("item_id").cast("string").alias("item")).distinct() \
         .groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     found = index.room.save(cover.join(named, "doc_id").withColumnRenamed("doc_id", "hit_id"), "found")
+    index.room.keep(found)
     return docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words")) \
         .join(_small(found), F.col("doc_id") == F.col("hit_id"), "left").select(
             "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -128,4 +129,5 @@ def clean(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """
     index, _, hits = find(docs, items, n)
     bad = index.room.save(hits.select(F.col("doc_id").alias("hit_id")).distinct(), "bad")
+    index.room.keep(bad)
     return docs.join(_small(bad), docs["doc_id"] == bad["hit_id"], "left_anti")

@@ -185,6 +185,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 6
     while left(state):
         counts = units(state).mapInArrow(_histograms(width, kind), "qb int, counts binary")
         state = room.save(state.groupBy("qb").cogroup(counts.groupBy("qb")).applyInPandas(_narrow(ids_from, ids_to), _STATE), "state")
+    room.keep(candidates, state)
     found = units(state).mapInArrow(_select(width, kind), "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

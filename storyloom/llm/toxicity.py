@@ -114,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bits: int =
     are averaged in tasks, slice by slice; the driver sees one state of fixed size. Without rows to learn from every score is 0.5.
     """
     spark = docs.sparkSession
-    rows = Workspace(spark, "toxicity").save(
+    room = Workspace(spark, "toxicity")
+    rows = room.save(
         marked(docs, labels, column, sample).withColumn("part", F.pmod("key", F.lit(SHARDS)).cast("int")), "sample")
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for turn in range(ROUNDS):
@@ -149,6 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bits: int =
             z[ends[r["slice"]]:ends[r["slice"] + 1]] = np.frombuffer(r["z"], np.float64)
             n[ends[r["slice"]]:ends[r["slice"] + 1]] = np.frombuffer(r["n"], np.float64)
         held.unpersist()
+    room.keep()
     w = _weights(z[:-1], n[:-1])
     at = np.flatnonzero(w)
     bias = float(-z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA))
