@@ -52,7 +52,7 @@ def op1_decontamination(spark, folder):
 
 def _scored(docs, model, scorer, least: float):
     return scorer(docs, model).select(
-        F.col("doc_id").cast("long"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        F.col("doc_id").cast("long"), F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= least).cast("int").alias("predicted"))
 
 
