@@ -10,7 +10,9 @@ from storyloom.session import Workspace
 #: Edits that near lines may differ by, and characters from which lines are compared so; shorter ones must be equal.
 EDITS, LEAST = 2, 24
 #: Tables of at most so many rows of fixed size are broadcast; larger ones are shuffled.
-SMALL = 1_000_000
+SMALL = 200_000
+#: Letters whose counts tell most far pairs apart before their texts are fetched, eight to a packed column.
+LETTERS = ("etaoinsr", "hlducmfp", "gwybvkxz")
 
 _LAST = (1 << 63) - 1
 
@@ -19,14 +21,14 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _probes(line: Column, edits: int) -> Column:
+def _probes(line: Column, size: Column, edits: int) -> Column:
     """Keys of all substrings that can be a segment of a line at most ``edits`` shorter, the own segments first.
 
     A line of n characters is cut into edits + 1 segments, the last n mod (edits + 1) of them one longer. Within ``edits`` edits
     at least one segment is left whole; segment i has then moved by no more than i, and by no more than what is left
     of the edits behind it. A key has the segment's number, the length of the shorter line, and the substring.
     """
-    size, own, other = F.char_length(line), [], []
+    own, other = [], []
     for less in range(edits + 1):
         n = size - less
         base = F.floor(n / (edits + 1)).cast("int")
@@ -50,21 +52,47 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                                                    F.xxhash64(F.lit(7), "line", F.lit(11)).alias("b"))
 
 
+def _bags(line: Column) -> list[Column]:
+    """Counts of LETTERS in a line, each up to 255, packed by eight."""
+    out = []
+    for letters in LETTERS:
+        packed = F.lit(0).cast("long")
+        for k, x in enumerate(letters):
+            n = F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit(""))), F.lit(255)).cast("long")
+            packed = packed.bitwiseOR(F.shiftleft(n, 8 * k))
+        out.append(packed)
+    return out
+
+
+def _apart(x: str, y: str) -> Column:
+    """Sum of the differences of two lines' packed counts; an edit changes it by 2 at most."""
+    total = F.lit(0).cast("long")
+    for i in range(len(LETTERS)):
+        for k in range(8):
+            a, b = (F.shiftrightunsigned(F.col(f"{c}.bag{i}"), 8 * k).bitwiseAND(255) for c in (x, y))
+            total = total + F.abs(a - b)
+    return total
+
+
 def near_earlier(lines: DataFrame, firsts: DataFrame, room: Workspace, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """a, b of the lines that have another line within ``edits`` edits whose first place is earlier.
 
     First the keys that different lines share are found by an aggregation that only keeps two hashes a key. Then, of the lines with such
     keys, the earliest of each key is compared with all others; lines still without an earlier neighbour meet
-    every earlier line of their keys. So a key that very many lines share costs one comparison a line as long as they are near.
+    every earlier line of their keys whose letter counts allow it. So a key that very many lines share costs one comparison a line
+    as long as they are near, and lines that share a segment but not their letters are not paired.
     """
-    long = lines.where(F.char_length("line") >= least)
-    keyed = long.select("a", F.explode(_probes(F.col("line"), edits)).alias("key")).where(F.col("key").isNotNull())
+    long = lines.withColumn("size", F.char_length("line")).where(F.col("size") >= least)
+    keyed = room.save(long.select("a", F.posexplode(_probes(F.col("line"), F.col("size"), edits)).alias("slot", "key"))
+                      .where(F.col("key").isNotNull()).select("a", "key", (F.col("slot") <= edits).alias("own")), "keyed")
     live = room.save(keyed.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("key"), "live")
-    probed = long.select("a", "b", F.posexplode(_probes(F.col("line"), edits)).alias("slot", "key"))
-    members = room.save(probed.join(_small(live), "key").select("key", "a", "b", (F.col("slot") <= edits).alias("own")).distinct(), "members")
-    wanted = room.save(members.select("a", "b").distinct(), "wanted")
-    texts = room.save(long.join(_small(wanted), ["a", "b"], "left_semi").select("a", "b", "line").distinct(), "texts")
-    placed = room.save(members.join(firsts, ["a", "b"]).select("key", "own", F.struct("doc", "no", "a", "b").alias("at")), "placed")
+    members = room.save(keyed.join(_small(live), "key").distinct(), "members")
+    wanted = room.save(members.select("a").distinct(), "wanted")
+    texts = room.save(long.join(_small(wanted), "a", "left_semi").select("a", "b", "line").distinct(), "texts")
+    bags = texts.select("a", "b", *(c.alias(f"bag{i}") for i, c in enumerate(_bags(F.col("line")))))
+    whole = room.save(firsts.join(bags, ["a", "b"]), "whole")
+    placed = room.save(members.join(whole, "a").select(
+        "key", "own", F.struct("doc", "no", "a", "b", *(f"bag{i}" for i in range(len(LETTERS)))).alias("at")), "placed")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """a, b of the later line of each pair (early, late) that is near enough."""
@@ -83,7 +111,8 @@ def near_earlier(lines: DataFrame, firsts: DataFrame, room: Workspace, edits: in
     open_ = placed.join(gone, (F.col("at.a") == F.col("ga")) & (F.col("at.b") == F.col("gb")), "left_anti") \
         .select("key", F.col("own").alias("late_own"), F.col("at").alias("late"))
     again = placed.select("key", F.col("own").alias("early_own"), F.col("at").alias("early")).join(open_, "key") \
-        .where((F.col("early") < F.col("late")) & (F.col("early_own") | F.col("late_own")))
+        .where((F.col("early") < F.col("late")) & (F.col("early_own") | F.col("late_own"))) \
+        .where(_apart("early", "late") <= 2 * edits)
     return first.unionByName(room.save(verified(again), "second")).distinct()
 
 
@@ -99,7 +128,9 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
     judged = room.save(judged, "judged")
     dropped = lines.select("doc", "digest", "no", "a", "b").join(_small(judged), ["a", "b"]) \
         .where(F.col("near") | (F.struct("doc", "no") > F.col("first")))
-    return room.save(dropped.groupBy("doc", "digest").agg(F.collect_set("no").alias("numbers")), "numbers")
+    numbers = room.save(dropped.groupBy("doc", "digest").agg(F.collect_set("no").alias("numbers")), "numbers")
+    room.keep(numbers)
+    return numbers
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, spare: float | None = None,
@@ -117,7 +148,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, spare:
     """
     numbers = repeated_lines(docs, edits, least)
     size = numbers.agg(F.coalesce(F.sum(F.size("numbers") + 8), F.lit(0))).collect()[0][0]
-    held = F.broadcast(numbers) if size <= 4 * SMALL else numbers
+    held = F.broadcast(numbers) if size <= 5 * SMALL else numbers
     text = F.col("text").cast("string")
     own = [c for c in docs.columns if c not in names]
     left = docs.select(*own)
