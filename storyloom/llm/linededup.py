@@ -9,7 +9,7 @@ from storyloom.session import Workspace
 
 #: Edits that near lines may differ by, and characters from which lines are compared so; shorter ones must be equal.
 EDITS, LEAST = 2, 24
-#: Tables of at most so many rows of fixed size are broadcast; larger ones are shuffled.
+#: Tables of at most so many rows of fixed size are broadcast, of single numbers five times as many; larger ones are shuffled.
 SMALL = 200_000
 #: Letters whose counts tell most far pairs apart before their texts are fetched, eight to a packed column.
 LETTERS = ("etaoinsr", "hlducmfp", "gwybvkxz")
@@ -17,8 +17,8 @@ LETTERS = ("etaoinsr", "hlducmfp", "gwybvkxz")
 _LAST = (1 << 63) - 1
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL else df
+def _small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def _probes(line: Column, size: Column, edits: int) -> Column:
@@ -86,9 +86,9 @@ def near_earlier(lines: DataFrame, firsts: DataFrame, room: Workspace, edits: in
     keyed = room.save(long.select("a", F.posexplode(_probes(F.col("line"), F.col("size"), edits)).alias("slot", "key"))
                       .where(F.col("key").isNotNull()).select("a", "key", (F.col("slot") <= edits).alias("own")), "keyed")
     live = room.save(keyed.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("key"), "live")
-    members = room.save(keyed.join(_small(live), "key").distinct(), "members")
+    members = room.save(keyed.join(_small(live, 5 * SMALL), "key").distinct(), "members")
     wanted = room.save(members.select("a").distinct(), "wanted")
-    texts = room.save(long.join(_small(wanted), "a", "left_semi").select("a", "b", "line").distinct(), "texts")
+    texts = room.save(long.join(_small(wanted, 5 * SMALL), "a", "left_semi").select("a", "b", "line").distinct(), "texts")
     bags = texts.select("a", "b", *(c.alias(f"bag{i}") for i, c in enumerate(_bags(F.col("line")))))
     whole = room.save(firsts.join(bags, ["a", "b"]), "whole")
     placed = room.save(members.join(whole, "a").select(
