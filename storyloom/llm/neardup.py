@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.session import Workspace
@@ -19,6 +19,8 @@ REGISTERS, BAND = 96, 4
 BASE, RATE, TOP = 1.02, 20.0, 65535
 #: A pair is checked on its sets unless its estimated similarity is so many standard errors below the threshold.
 ERRORS = 5.5
+#: Rounds in which the members of a band meet one of them, before the rest meet by rare shingles; bits of a frequency slot.
+STARS, SLOTS = 3, 19
 #: Ids of at most so many documents are broadcast to find their texts; with more, Spark shuffles.
 SMALL = 1_000_000
 
@@ -123,17 +125,60 @@ def _linked(percent: int):
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets have a shingle, by slot of its hash: an array of fixed size."""
+
+    def run(frames):
+        total = np.zeros(1 << SLOTS, np.int64)
+        for frame in frames:
+            for raw in frame["whole"]:
+                np.add.at(total, (np.frombuffer(raw, np.uint64) & np.uint64((1 << SLOTS) - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": at, "n": total[at]})
+
+    def pack(frames):
+        for frame in frames:
+            yield pd.DataFrame({"slots": [frame["slot"].to_numpy(np.int32).tobytes()], "n": [frame["n"].to_numpy(np.int32).tobytes()]})
+
+    sums = sets.select("whole").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    out = np.zeros(1 << SLOTS, np.int32)
+    for row in sums.mapInPandas(pack, "slots binary, n binary").toLocalIterator():
+        out[np.frombuffer(row["slots"], np.int32)] = np.frombuffer(row["n"], np.int32)
+    return out
+
+
+def _prefixes(held, percent: int):
+    """The rarest shingles of each set, as many as two linked sets can't both lack; ``pos`` counts from the rarest."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for doc, raw in zip(frame["doc_id"], frame["whole"]):
+                x = np.frombuffer(raw, np.uint64)
+                seen = held.value[(x & np.uint64((1 << SLOTS) - 1)).astype(np.int64)]
+                order = np.lexsort((x, seen))[: len(x) * (100 - percent) // 100 + 1]
+                out.append(pd.DataFrame({"doc_id": doc, "n": len(x), "token": x[order].view(np.int64), "pos": np.arange(len(order))}))
+            yield pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n": [], "token": [], "pos": []})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Two documents are linked if their sets of k-word shingles (whole texts, A-Z in lower case) have 100 * intersection >=
     percent * union; component_id is the smallest doc_id that links reach. A text of fewer than k words is one shingle; a
     null, empty or wordless text has none and is linked with nothing. Equal sets are one class from the start, held by
-    their smallest id. Class holders that share a band of registers are candidates; per band group first the smallest id
-    is compared with the rest, then of groups that still fall into several components the next 8, 64, ... ids with the
-    members of other components, until none is left: a large group of true copies costs one comparison a member, and no
-    link between different components of a group goes untested. A comparison drops pairs that sizes or the likelihood of
-    the registers rule out, and decides the others on the full sets.
+    their smallest id. Class holders that share a band of registers are candidates. In three rounds the members of a band
+    are compared with one of them, so a large group of true copies costs one comparison a member and round. What still
+    falls into several components within a band is decided by its rarest shingles: two linked sets share one of these, at places that
+    their sizes bound, whatever the order of rarity; all pairs of different components that do are compared. So no link
+    between components goes untested, and edits of one text, each far from the others, are not paired.
+    A comparison drops pairs that sizes or the likelihood of the registers rule out, and decides the others on the full sets.
     Rows of one id are one node with the links of all their texts, and are all kept or all dropped; rows without an id are
     linked with nothing and kept. An empty table gives an empty result. Other columns are not read.
     """
@@ -153,7 +198,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     wanted = group.select(F.col("doc_id").alias("id")).distinct()
     wanted = room.save(wanted, "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, F.col("doc_id") == F.col("id"), "left_semi")
+    texts = texts.join(_small(wanted), F.col("doc_id") == F.col("id"), "left_semi")
 
     def full_sets(batches):
         for block in blocks(batches):
@@ -164,35 +209,49 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     several = member.groupBy("doc_id").agg(F.min("holder").alias("low"), F.max("holder").alias("high")).where("low <> high")
     links = room.save(member.join(several.select("doc_id"), "doc_id").select(F.col("holder").alias("a"), F.col("doc_id").alias("b")), "links")
     label = room.save(components(links, room), "components")
-    hubs, tested = 1, 0
-    while True:
-        at = room.save(group.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                       .withColumn("root", F.coalesce("root", "doc_id")), "rooted")
-        mixed = room.save(at.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                                 F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("low <> high"), "mixed")
-        most = mixed.agg(F.max("n")).collect()[0][0]
-        if most is None or tested >= most - 1:
-            break
-        left = at.join(mixed.select("band", "hub"), "band")
-        if hubs == 1:
-            pairs = left.where("doc_id <> hub").groupBy("doc_id").agg(F.min("hub").alias("a")).select("a", F.col("doc_id").alias("b"))
-        else:
-            by = Window.partitionBy("band").orderBy("doc_id")
-            first = left.withColumn("place", F.row_number().over(by)).where(F.col("place") <= hubs).where(F.col("place") > tested) \
-                .select("band", F.col("doc_id").alias("a"), F.col("root").alias("other"))
-            pairs = left.join(first, "band").where("doc_id > a and root <> other").select("a", F.col("doc_id").alias("b")).distinct()
-            tested = hubs
-        one = regs.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
-        two = regs.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
+
+    one = regs.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
+    two = regs.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("whole").alias("sb"))
+    other = sets.select(F.col("doc_id").alias("a"), F.col("whole").alias("sa"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
         near = pairs.join(two, "b").join(one, "a").where(
             100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "ra", "rb")
         near = room.save(near.mapInPandas(_promising(percent), "a long, b long").distinct(), "near")
-        right = sets.select(F.col("doc_id").alias("b"), F.col("whole").alias("sb"))
-        other = sets.select(F.col("doc_id").alias("a"), F.col("whole").alias("sa"))
-        found = near.join(right, "b").join(other, "a").select("a", "b", "sa", "sb").mapInPandas(_linked(percent), "a long, b long")
-        links = room.save(found.unionByName(links), "links")
+        return near.join(right, "b").join(other, "a").select("a", "b", "sa", "sb").mapInPandas(_linked(percent), "a long, b long")
+
+    def rooted(rows: DataFrame, label: DataFrame) -> DataFrame:
+        return rows.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
+    for turn in range(STARS + 1):
+        at = room.save(rooted(group, label), "rooted")
+        mixed = at.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "low")
+        left = at.join(room.save(mixed, "mixed"), "band")
+        if turn == STARS:
+            break
+        # the first hub is the smallest id; later ones are drawn from what isn't linked with it
+        drawn_by = F.col("doc_id") if not turn else F.when(F.col("root") != F.col("low"), F.xxhash64("doc_id", F.lit(turn)))
+        hub = left.groupBy("band").agg(F.min_by(F.struct(F.col("doc_id").alias("hub"), F.col("root").alias("other")), drawn_by).alias("h")) \
+            .select("band", "h.*").where(F.col("hub").isNotNull())
+        pairs = left.select("band", "doc_id", "root").join(hub, "band").where("root <> other").groupBy("doc_id") \
+            .agg(F.min("hub").alias("a")).select("a", F.col("doc_id").alias("b"))
+        links = room.save(linked(pairs).unionByName(links), "links")
         label = room.save(components(links, room), "components")
-        hubs *= 8
+    rest = room.save(left.select("doc_id").distinct(), "rest")
+    rest_sets = sets.join(_small(rest), "doc_id", "left_semi")
+    held = spark.sparkContext.broadcast(_frequencies(rest_sets))
+    tokens = room.save(rooted(rest_sets.mapInPandas(_prefixes(held, percent), "doc_id long, n int, token long, pos int"), label), "tokens")
+    shared = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    tokens = room.save(tokens.join(shared, "token"), "shared")
+    a, b = (tokens.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "n", "pos", "root"))) for side in "ab")
+    least = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / (100 + percent) - 1e-9)
+    pairs = a.join(b, "token").where("a_doc_id < b_doc_id and a_root <> b_root").where(
+        (F.col("a_pos") <= F.col("a_n") - least) & (F.col("b_pos") <= F.col("b_n") - least)) \
+        .select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
+    links = room.save(linked(room.save(pairs, "pairs")).unionByName(links), "links")
+    label = room.save(components(links, room), "components")
+    room.keep(drawn, member, label)
     root = member.join(label.withColumnRenamed("node", "holder"), "holder", "left") \
         .withColumn("holder", F.coalesce("root", "holder")).select("doc_id", "holder")
     root = root.groupBy("doc_id").agg(F.min("holder").alias("component")).withColumnRenamed("doc_id", "id")
