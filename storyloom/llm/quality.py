@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: i
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and score of every row, from its whole text.
 
-    A null or empty text has all statistics 0 and gets the score of those. Rows that repeat score alike. Columns that are
+    A null or empty text has all statistics 0 and gets the score of those. Rows that repeat score alike: to 12 digits, as sums vary beyond. Columns that are
     not kept are not read; a kept column must not be called ``score``.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     def run(batches):
         for block in blocks(batches):
             columns = [block.rows.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.clip(held.value.score(statistics(block)), 0, 1))],
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.round(np.clip(held.value.score(statistics(block)), 0, 1), 12))],
                                              names=[*keep, "score"])
 
     rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
