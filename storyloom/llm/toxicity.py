@@ -18,9 +18,9 @@ from .textblocks import MARKS, Block, Hasher, blocks, mix, per_row, words
 #: Features are hashed to this many coordinates: the weights have a fixed size, whatever the corpus.
 BITS = 20
 #: At most so many labelled documents are learnt from (the first by a hash of the id).
-SAMPLE = 20_000
+SAMPLE = 40_000
 #: Parts of the sample that are learnt side by side, and rounds after which their states are averaged.
-SHARDS, ROUNDS = 4, 4
+SHARDS, ROUNDS = 6, 4
 #: Slices of the coordinates, each averaged by a task of its own.
 SLICES = 16
 #: Rates and penalties: per-coordinate step alpha, beta; lambda1, lambda2.
