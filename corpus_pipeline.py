@@ -14,8 +14,8 @@ from storyloom.llm import decontamination, linededup, mixing, neardup, toxicity
 from storyloom.llm.tables import table
 from storyloom.session import Workspace
 
-#: Score from which a document is rejected, share of repeated lines above which a text is a copy and left whole.
-REJECT, SPARE = 0.5, 0.5
+#: Score from which a document is rejected.
+REJECT = 0.5
 #: Ids of at most so many dropped rows are broadcast; with more, Spark shuffles.
 SMALL = 1_000_000
 
@@ -42,9 +42,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated and near-repeated lines; copies of whole texts are left to the next stage. n_chars follows the text."""
+    """Drops repeated and near-repeated lines; n_chars follows the text.
+
+    Copies of a whole text are cut as the first of them is: they stay equal, so the next stage drops them.
+    """
     names = _free(docs, "line_count"), _free(docs, "line_drops")
-    out = linededup.dedup_lines(docs, spare=SPARE, names=names)
+    out = linededup.dedup_lines(docs, names=names, copies=True)
     if "n_chars" in docs.columns:
         size = F.char_length(F.col("text").cast("string")).cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col(names[1]) > 0, size).otherwise(F.col("n_chars")))

@@ -133,22 +133,48 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
     return numbers
 
 
+def _weight(numbers: DataFrame) -> int:
+    return numbers.agg(F.coalesce(F.sum(F.size("numbers") + 8), F.lit(0))).collect()[0][0]
+
+
+def _alike(docs: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``numbers`` with every copy of a text cut as its first row is; copies are found by 128 bits of their texts.
+
+    A copy's lines all stand later than its first row's, so they change nothing for other texts.
+    """
+    room = Workspace(docs.sparkSession, "alike")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("digest"),
+                        F.xxhash64(F.lit(7), text, F.lit(11)).alias("more"))
+    copied = texts.groupBy("digest", "more").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last")
+    first = numbers.select(F.col("doc").alias("head"), "digest", "numbers")
+    copied = room.save(copied.drop("last").join(first, ["head", "digest"], "left"), "copied")
+    held = F.broadcast(copied) if copied.count() <= SMALL and _weight(copied) <= 5 * SMALL else copied
+    later = room.save(texts.join(held, ["digest", "more"]).where("doc > head").select("doc", "digest", "numbers").distinct(), "later")
+    own = numbers.join(_small(later.select("doc", "digest")), ["doc", "digest"], "left_anti")
+    out = room.save(own.unionByName(later.where("numbers is not null")), "numbers")
+    room.keep(out)
+    return out
+
+
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, spare: float | None = None,
-                names: tuple[str, str] = ("line_count", "line_drops")) -> DataFrame:
+                names: tuple[str, str] = ("line_count", "line_drops"), copies: bool = False) -> DataFrame:
     """The rows of docs, all columns in order, with the text cut to its kept lines, and behind them the numbers of lines
     and of dropped lines, called as ``names`` says.
 
     A line goes if an equal line has an earlier place (smaller doc_id, then smaller line number), or if it has ``least`` or more
     characters and so has another line within ``edits`` edits (insertions, deletions, exchanged characters), whether or not that one
     stays: lines are judged on the input. Blank lines stay. With ``spare``, a text of which more than that share of its non-blank lines
-    would go is left whole: it is a copy, a matter of near-duplicate search, not of boilerplate.
+    would go is left whole: it is a copy, a matter of near-duplicate search, not of boilerplate. With ``copies``, rows whose whole
+    text has an earlier row lose the lines that the first such row loses and no others, so they stay copies of it.
     A null text stays null and has no lines; an empty one has one, blank. Rows of one doc_id stand at one place: their lines are no
     repeats of each other at equal numbers; a row without an id comes last. Empty tables give empty results. If docs has columns of the two
     names, docs' own are left out; give other names then.
     """
     numbers = repeated_lines(docs, edits, least)
-    size = numbers.agg(F.coalesce(F.sum(F.size("numbers") + 8), F.lit(0))).collect()[0][0]
-    held = F.broadcast(numbers) if size <= 5 * SMALL else numbers
+    if copies:
+        numbers = _alike(docs, numbers)
+    held = F.broadcast(numbers) if _weight(numbers) <= 5 * SMALL else numbers
     text = F.col("text").cast("string")
     own = [c for c in docs.columns if c not in names]
     left = docs.select(*own)
