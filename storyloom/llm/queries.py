@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ctw, decontamination, linededup, mixing, neardup, quality, suffixdedup, topk, toxicity, urlfilter
+from . import conversationrepair, ctw, decontamination, linededup, mixing, neardup, packing, periodicruns, quality, suffixdedup, topk, toxicity, urlfilter
 from .tables import fold, table
 
 QUERIES: dict = {}
@@ -134,3 +134,30 @@ def op9_lm_scores(spark, folder):
 def op10_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, folder):
+    found = periodicruns.periodic_runs(periodicruns.repeat_some(table(spark, folder, "documents")))
+    runs = F.col("runs")
+    # length / period falls, then start and period rise: compared as whole numbers, no quotient is rounded
+    best = F.array_sort(runs, lambda x, y: F.coalesce(
+        F.nullif(F.signum(y["length"] * x["period"] - x["length"] * y["period"]).cast("int"), F.lit(0)),
+        F.nullif(F.signum(x["start"] - y["start"]).cast("int"), F.lit(0)), F.signum(x["period"] - y["period"]).cast("int")))
+    found = found.withColumn("best", F.get(best, F.lit(0)))
+    lines = F.array_join(F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"),
+                                                                          r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, folder):
+    return conversationrepair.repair(conversationrepair.damage(table(spark, folder, "conversations")), gone="gone")
+
+
+@query("op13_packing")
+def op13_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"))
