@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -18,17 +21,23 @@ from .textblocks import blocks
 
 LIMIT = 4096
 END = 2
-#: Distinct words that a task remembers with their ids, and bytes of a text that are split at a time.
-MEMORY, SLICE = 1 << 18, 1 << 20
+#: ASCII punctuation that words are cut before; an apostrophe may belong to what follows it.
+MARKS = ".,;:!?#%*&$"
+#: Distinct words that a Python worker remembers with their ids, and bytes of texts that are split at a time.
+MEMORY, SLICE = 1 << 20, 1 << 20
+#: Words that the tokenizer sees at once.
+TOGETHER = 1024
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 class Encoder:
-    """Ids of texts for tokenizers that drop white space and never join what stands on both sides of it.
+    """Ids of texts for tokenizers that drop white space, never join what stands on both sides of it, and never join an
+    ASCII letter or digit with one of MARKS behind it.
 
-    Words between ASCII white space are encoded once each and remembered, so the ids of a text are those of its words in
-    a row. Memory is bounded by MEMORY words and one slice of a text.
+    Pieces between white space and such places are encoded once and remembered by number, so the ids of a text are those
+    of its pieces in a row, gathered at once. Once MEMORY pieces are remembered, others are encoded whenever they come:
+    memory is bounded by MEMORY pieces and one slice of a text.
     """
 
     def __init__(self, path: str):
@@ -36,30 +45,81 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > MEMORY:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4")
-
-    def ids(self, text: bytes) -> np.ndarray:
-        out, at = [np.zeros(0, "<u4")], 0
-        while at < len(text):
-            end = min(at + SLICE, len(text))
-            while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
-                end += 1
-            words = text[at:end].split()
-            missing = {w for w in words if w not in self.known}
-            if missing:
-                self._learn(set(words))
-            out.extend([self.known[w] for w in words])
-            at = end
-        return np.concatenate(out)
+        special = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        marks = "".join(m for m in MARKS if m not in special)
+        self.place = re.compile(b"(?<=[A-Za-z0-9])(?=[" + re.escape(marks).encode() + b"])")
+        self.known: dict[bytes, int] = {}
+        self.flat, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words and how many each has. The tokenizer reads them side by side; a token belongs to the word
+        in which it starts."""
+        ids, sizes = [], []
+        for a in range(0, len(words), TOGETHER):
+            some = [w.decode() for w in words[a : a + TOGETHER]]
+            (found,) = self.tokenizer.encode_batch([" ".join(some)], add_special_tokens=False)
+            first = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+            begins = np.cumsum([0] + [len(w) + 1 for w in some])
+            ids.append(np.array(found.ids, "<u4"))
+            sizes.append(np.diff(np.searchsorted(first, begins)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        flat, starts, new = self.flat, self.starts, np.flatnonzero(at < 0)
+        if len(new):
+            some = [words[i] for i in new.tolist()]
+            numbers: dict[bytes, int] = {}
+            at[new] = np.fromiter((numbers.setdefault(w, len(numbers)) for w in some), np.int64, len(some)) + len(self.known)
+            ids, sizes = self._ids(list(numbers))
+            flat, starts = np.concatenate([flat, ids]), np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
+            if len(self.known) + len(numbers) <= MEMORY:
+                self.known.update((w, len(starts) - 1 - len(numbers) + n) for w, n in numbers.items())
+                self.flat, self.starts = flat, starts
+        begin, sizes = starts[at], starts[at + 1] - starts[at]
+        ends = np.cumsum(sizes)
+        return flat[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def texts(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of every text. Short texts go together, long ones in slices that end at white space."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        words: list[bytes] = []
+        owners: list[tuple[int, int]] = []
+
+        def flush():
+            ids, sizes = self.encode(words)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            at = 0
+            for i, n in owners:
+                out[i].append(ids[ends[at] : ends[at + n]])
+                at += n
+            words.clear()
+            owners.clear()
+
+        held = 0
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                end = min(at + SLICE, len(text))
+                while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
+                    end += 1
+                some = self.place.sub(b" ", text[at:end]).split()
+                words.extend(some)
+                owners.append((i, len(some)))
+                held += end - at
+                at = end
+                if held >= SLICE:
+                    flush()
+                    held = 0
+        flush()
+        return [np.concatenate(x) if x else np.zeros(0, "<u4") for x in out]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker: its words serve the tasks that follow."""
+    return Encoder(path)
 
 
 def cuts(total: int, limit: int = LIMIT) -> list[tuple[int, int]]:
@@ -78,11 +138,10 @@ def pieces(docs: DataFrame, path: str, end: int = END, limit: int = LIMIT, ids:
     """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids of every piece. No shuffle."""
 
     def cut(batches):
-        encoder = Encoder(path)
         for block in blocks(batches):
             rows, raw, kept = [], [], block.rows.column("doc_id").to_pylist()
-            for doc, text in zip(kept, block.texts):
-                whole = np.append(encoder.ids(text), np.array([end], "<u4"))
+            for doc, found in zip(kept, encoder(path).texts(block.texts)):
+                whole = np.append(found, np.array([end], "<u4"))
                 data = whole.astype("<u4", copy=False).tobytes()
                 for start, length in cuts(len(whole), limit):
                     part = data[4 * start : 4 * (start + length)]

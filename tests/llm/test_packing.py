@@ -44,17 +44,18 @@ def test_edges(spark, edge, none, tokenizer):
         packing.pack(edge, limit=100)
 
 
+def check_texts(encoder, tokenizer, texts):
+    got = encoder.texts([t.encode() for t in texts])
+    assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_words_are_encoded_as_in_the_whole_text(monkeypatch, tokenizer):
     texts = ["Don't  STOP 'tis o'clock !!'s 12345 é ́x   y\x1cz\x85w Σίσυφος ΟΔΥΣΣΕΥΣ İstanbul <|endoftext|>a b<|startoftext|>",
-             "漢字かな交じり文 한국어 각 👩‍👩‍👧 ﬁ Å Ω", "\x00\x01 \t\v\f\r\n", "a" * 5000 + " " + "'s" * 300]
-    encoder = packing.Encoder(PATH)
-    for text in texts:
-        assert encoder.ids(text.encode()).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+             "漢字かな交じり文 한국어 각 👩‍👩‍👧 ﬁ Å Ω", "\x00\x01 \t\v\f\r\n", "U.S.A. a.'s x,'tis 3.14,15 q!!? é.,? ≠ a≠b k&amp;l#m% …. <|endoftext|>.,a.<|endoftext|>!", "a" * 5000 + " " + "'s" * 300, ""]
+    check_texts(packing.Encoder(PATH), tokenizer, texts)
     monkeypatch.setattr(packing, "SLICE", 7)
     monkeypatch.setattr(packing, "MEMORY", 3)
-    encoder = packing.Encoder(PATH)
-    for text in texts:
-        assert encoder.ids(text.encode()).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    check_texts(packing.Encoder(PATH), tokenizer, texts)
 
 
 def test_query_and_buckets(spark, tokenizer, tmp_path):
