@@ -201,6 +201,59 @@ UNION_TERRITORIES = [
     "Ladakh", "Lakshadweep", "Puducherry",
 ]
 
+# --- fixed values: places that name a state (each state's own name counts as well) ---
+PLACES = """
+Andhra Pradesh: amaravati, visakhapatnam, vizag, vijayawada, tirupati, guntur, kurnool, nellore
+Arunachal Pradesh: itanagar, tawang, pasighat, ziro
+Assam: guwahati, dispur, dibrugarh, silchar, jorhat, kaziranga, brahmaputra
+Bihar: patna, gaya, bhagalpur, muzaffarpur, darbhanga, purnia, nalanda
+Chhattisgarh: raipur, bilaspur, durg, bhilai, bastar, korba
+Goa: panaji, panjim, margao, vasco da gama, calangute
+Gujarat: gandhinagar, ahmedabad, surat, vadodara, baroda, rajkot, bhavnagar, jamnagar, kutch
+Haryana: gurugram, gurgaon, faridabad, panipat, ambala, rohtak, karnal, hisar
+Himachal Pradesh: shimla, dharamshala, manali, kullu, mandi, solan, spiti
+Jharkhand: ranchi, jamshedpur, dhanbad, bokaro, deoghar, hazaribagh
+Karnataka: bengaluru, bangalore, mysuru, mysore, hubballi, mangaluru, mangalore, belagavi
+Kerala: thiruvananthapuram, trivandrum, kochi, cochin, kozhikode, calicut, thrissur, kannur, wayanad, kollam
+Madhya Pradesh: bhopal, indore, gwalior, jabalpur, ujjain, rewa
+Maharashtra: mumbai, pune, nagpur, nashik, thane, aurangabad, sambhajinagar, solapur, kolhapur
+Manipur: imphal, churachandpur, kangpokpi, bishnupur
+Meghalaya: shillong, tura, cherrapunji, sohra
+Mizoram: aizawl, lunglei, champhai
+Nagaland: kohima, dimapur, mokokchung
+Odisha: orissa, bhubaneswar, cuttack, rourkela, puri, sambalpur, balasore
+Punjab: amritsar, ludhiana, jalandhar, patiala, bathinda, mohali
+Rajasthan: jaipur, jodhpur, udaipur, kota, ajmer, bikaner, jaisalmer, alwar
+Sikkim: gangtok, namchi, pelling
+Tamil Nadu: chennai, madras, coimbatore, madurai, tiruchirappalli, trichy, salem, tirunelveli
+Telangana: hyderabad, secunderabad, warangal, nizamabad, karimnagar, khammam, revanth
+Tripura: agartala, dharmanagar
+Uttar Pradesh: lucknow, kanpur, varanasi, kashi, prayagraj, allahabad, noida, greater noida, agra, meerut, ayodhya, gorakhpur, bareilly, mathura
+Uttarakhand: dehradun, haridwar, rishikesh, nainital, kedarnath, badrinath, roorkee
+West Bengal: kolkata, calcutta, howrah, durgapur, siliguri, asansol, darjeeling
+Andaman and Nicobar Islands: andaman, nicobar, port blair
+Chandigarh:
+Dadra and Nagar Haveli and Daman and Diu: dadra, nagar haveli, daman, diu, silvassa
+Delhi: new delhi, ncr, chawri bazar, connaught place, dwarka, rohini
+Jammu and Kashmir: jammu & kashmir, j&k, srinagar, jammu, anantnag, baramulla, kashmir
+Ladakh: leh, kargil
+Lakshadweep: kavaratti
+Puducherry: pondicherry, karaikal, mahe, yanam
+"""
+
+# --- fixed values: nodes of article pages, (tag, attribute, value), in order of preference ---
+CONTENT_NODES = [
+    ("div", "id", "PdfDiv"),
+    ("div", "class", "innner-page-main-about-us-content-right-part"),
+    ("div", "class", "ReleaseContent"),
+    ("div", "id", "ReleaseContent"),
+    ("article", None, ""),
+    ("body", None, ""),
+]
+PARAGRAPH_NODES = [("div", "class", "article-content"), ("div", "class", "content"), ("article", None, "")]
+PAGE_AUTHOR = "WION Web Team"
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+
 # --- fixed values: boilerplate and low-value phrases ----------------------
 FEED_BOILERPLATE = [
     "In a significant development, primary news reports",

@@ -21,29 +21,6 @@ def cosine(a, b) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def tfidf_pair(a, b, sum_a, sum_b) -> Column:
-    """TF-IDF cosine of two texts from their term-count maps.
-
-    The weights are fitted on the two texts alone, so a shared term weighs 1
-    and a lone one ``1 + ln 1.5``; ``sum_a`` and ``sum_b`` are the sums of
-    squared counts.
-    """
-    zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("qa"), F.lit(0.0).alias("qb"))
-    merged = F.map_values(
-        F.map_zip_with(a, b, lambda _, x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
-    )
-    shared = F.aggregate(
-        F.filter(merged, lambda e: e["x"].isNotNull() & e["y"].isNotNull()),
-        zero,
-        lambda acc, e: F.struct(
-            (acc["d"] + e["x"] * e["y"]).alias("d"),
-            (acc["qa"] + e["x"] * e["x"]).alias("qa"),
-            (acc["qb"] + e["y"] * e["y"]).alias("qb"),
-        ),
-    )
-    return tfidf_from_sums(shared["d"], shared["qa"], shared["qb"], sum_a, sum_b)
-
-
 def tfidf_from_sums(d, qa, qb, sum_a, sum_b) -> Column:
     k2 = F.pow(F.expr(LONE_TERM_WEIGHT), F.lit(2.0))
     norm = F.sqrt((qa + k2 * (sum_a - qa)) * (qb + k2 * (sum_b - qb)))

@@ -59,33 +59,54 @@ def repair_source(citations: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def gazetteer_entries() -> dict[str, list[str]]:
+    """State to keywords: its own name and the places listed for it, states in the order of the list."""
+    lines = (line.split(":", 1) for line in K.PLACES.strip().splitlines())
+    return {state: [state.lower(), *(p.strip() for p in places.split(",") if p.strip())] for state, places in lines}
+
+
 def gazetteer_rows(spark, entries: dict[str, list[str]] | None = None) -> DataFrame:
-    """Gazetteer table (state, keyword, ord); by default each state's own name."""
-    entries = entries or {s: [s.lower()] for s in K.STATES + K.UNION_TERRITORIES}
-    rows = [(state, kw, i) for i, (state, kws) in enumerate(entries.items()) for kw in kws]
+    """Gazetteer table (state, keyword, ord), by default of all states and their places."""
+    rows = [(state, kw, i) for i, (state, kws) in enumerate((entries or gazetteer_entries()).items()) for kw in kws]
     return spark.createDataFrame(rows, "state string, keyword string, ord int")
 
 
+# Delimiters that may stand before and after a keyword, white space aside.
+_BEFORE, _AFTER = ",.-:'\"([{", ",.-:'\")!]}"
+_BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BETWEEN = _BLANK + r",.\-:'\"(\[{)!\]}"
+
+
 def detect_states(df: DataFrame, gazetteer: DataFrame, key: str, text) -> DataFrame:
-    """(key, state) by the first gazetteer state with a delimited keyword in the text.
+    """(key, detected_state): the first gazetteer state with a delimited keyword in the text.
 
-    Only the words of a text that start a keyword leave it, so a text is
-    copied for those alone; such hits are tested.
+    A text is cut into words between delimiters. Of every place, the runs of up to as many words as the longest keyword
+    has, single-spaced and rightly delimited on both sides, meet the gazetteer in one equi-join; what leaves a text is a
+    key and a run, never the text. A null text has no state.
     """
-    starts = gazetteer.select(F.get(words(F.lower("keyword")), F.lit(0)).alias("word")).distinct() \
-        .agg(F.sort_array(F.collect_list("word"))).collect()[0][0]
-    gaz = gazetteer.select(
-        F.lower("keyword").alias("keyword"), F.col("state").alias("found"), "ord",
-        F.get(words(F.lower("keyword")), F.lit(0)).alias("word"),
-    )
+    most = gazetteer.agg(F.max(F.size(F.split("keyword", " ")))).collect()[0][0] or 1
     low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    rows = df.select(key, low.alias("_low"), F.explode(
-        F.array_intersect(words(F.lower(text)), F.array(*map(F.lit, starts)).cast("array<string>"))).alias("word"))
-    # the delimiters that may stand before and after a keyword
-    before, after = r"[\s,.\-:'\"(\[{]", r"[\s,.\-:'\")!\]}]"
-    quoted = F.regexp_replace("keyword", r"([^\p{L}\p{N}_ ])", r"\\$1")
-    hit = F.regexp_like(F.col("_low"), F.concat(F.lit(before), quoted, F.lit(after)))
-    return rows.join(gaz, "word").filter(hit).groupBy(key).agg(F.min_by("found", "ord").alias("detected_state"))
+    cut = rf"([^{_BETWEEN}]+)([{_BETWEEN}]+)"
+    parts = df.select(
+        key, F.regexp_extract_all(low, F.lit(cut), F.lit(1)).alias("_words"),
+        F.concat(F.array(F.regexp_extract(low, rf"^([{_BETWEEN}]*)", 1)), F.regexp_extract_all(low, F.lit(cut), F.lit(2))).alias("_gaps"))
+
+    def blank_or(char, others):
+        return char.rlike(f"[{_BLANK}]") | F.lit(others).contains(char)
+
+    def runs(n):
+        """Runs of n words; the gap before word i is gap i."""
+        inner = F.array_repeat(F.lit(" "), n - 1)
+        fits = lambda i: (
+            blank_or(F.substring(F.get("_gaps", i), -1, 1), _BEFORE) & blank_or(F.substring(F.get("_gaps", i + n), 1, 1), _AFTER)
+            & (F.slice("_gaps", i + 2, F.lit(n - 1)) == inner))
+        starts = F.when(F.size("_words") >= n, F.sequence(F.lit(0), F.size("_words") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(starts, fits), lambda i: F.array_join(F.slice("_words", i + 1, F.lit(n)), " "))
+
+    found = parts.select(key, F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, most + 1)])))).alias("keyword"))
+    names = gazetteer.groupBy(F.lower("keyword").alias("keyword")).agg(
+        F.min_by("state", "ord").alias("found"), F.min("ord").alias("ord"))
+    return found.join(names, "keyword").groupBy(key).agg(F.min_by("found", "ord").alias("detected_state"))
 
 
 def merge_master(old: DataFrame, new: DataFrame, keys=("id", "canonical_url", "headline")) -> DataFrame:

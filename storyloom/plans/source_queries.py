@@ -7,10 +7,14 @@ from storyloom.functions.language import language_profiles, tag_language
 from storyloom.operators import summaries as Y
 from storyloom.plans import fixtures as V
 from storyloom.plans import sqltext as Q
+from storyloom.plans.cluster_queries import _leader_sql as leader_sql
 from storyloom.plans.registry import query
 from storyloom.session import shared_folder
+from storyloom.sources import articles as SA
+from storyloom.sources import pages as P
 from storyloom.sources import payloads as N
 from storyloom.streaming import flows as T
+from storyloom.streaming import leaders as TL
 
 
 def stamp(c):
@@ -134,18 +138,22 @@ SELECT page_id, {Q.collapse(Q.unescape("regexp_replace(" + _NODE + ", '<[^>]+>',
 FROM (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g') AS b FROM pages)""")
 def extract_body(spark, folder):
     """Whole text of the content node; storage cuts are left to the caller."""
-    return V.table(spark, folder, "pages").select("page_id", N.extract_body("html", None).alias("body"))
+    return V.table(spark, folder, "pages").select("page_id", P.extract_body("html", None).alias("body"))
 
 
 @query("extract_meta", f"""
 SELECT page_id, {Q.unescape(Q.strip("regexp_extract(html, '(?is)<h1[^>]*>([^<]*)', 1)"))} AS title,
-  'Teaser &' AS summary, 'Desk ' || page_id AS author, '2024-01-05 10:00:00' AS published_at FROM pages""")
+  'Teaser &' AS summary, 'Lead ' || page_id || ' goes on. Nested & deep' AS content, 'Desk ' || page_id AS author, '2024-01-05 10:00:00' AS published_at FROM pages""")
 def extract_meta(spark, folder):
-    """Title, teaser, author and date from page heads; the tags are planted."""
+    """Title, teaser, paragraphs, author and date of pages; tags and a nested content node are planted, the article node is renamed."""
+    number = F.col("page_id").cast("string")
     pages = V.table(spark, folder, "pages").select("page_id", F.concat(
-        F.lit('<meta property="og:description" content="Teaser &amp;"><meta content="Desk '), F.col("page_id").cast("string"),
-        F.lit('" name="author"><meta property="article:published_time" content="2024-01-05T10:00:00Z">'), "html").alias("html"))
-    return N.extract_meta(pages, keep=["page_id"]).select("page_id", "title", "summary", "author", stamp("published_at").alias("published_at"))
+        F.lit('<meta property="og:description" content="Teaser &amp;"><meta content="Desk '), number,
+        F.lit('" name="author"><meta property="article:published_time" content="2024-01-05T10:00:00Z">'
+              '<div class="wide content"><div><p>Lead '), number,
+        F.lit(' <b>in <i>bold</i></b> goes on.</p></div><div><div></div><p> Nested &amp; deep</p></div></div><p>outside</p>'),
+        F.regexp_replace("html", "<(/?)article", "<$1section")).alias("html"))
+    return N.extract_meta(pages, keep=["page_id"]).select("page_id", "title", "summary", "content", "author", stamp("published_at").alias("published_at"))
 
 
 _LI = r"(?is)<li[^>]*>\s*<a[^>]*>(.*?)</a>"
@@ -261,13 +269,18 @@ def stream_dedup_urls(spark, folder):
 
 
 @query("stream_ingest", r"""
-SELECT DISTINCT regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '') AS url FROM pages""")
+WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '') AS url, page_id % 4 AS lane FROM pages)
+SELECT url, arg_min(page_id, (lane, page_id)) AS page_id FROM p GROUP BY 1""")
 def stream_ingest(spark, folder):
-    """Addresses that a stream of pages adds to an empty table."""
-    stream = T.normalized(_stream(spark, folder, "pages").select("page_id", F.regexp_extract("url", r"^([^?#]*)", 1).alias("url")))
+    """Addresses, with the page that brings each, that a stream of four batches adds; the query is stopped after the second and started again."""
     at = _flow_folder(spark)
-    T.ingest_batches(stream, f"{at}/out", f"{at}/state", availableNow=True).awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("url")
+    pages = V.table(spark, folder, "pages").select("page_id", F.regexp_extract("url", r"^([^?#]*)", 1).alias("url"))
+    for lanes in ((0, 1), (2, 3)):
+        for lane in lanes:
+            pages.filter(F.col("page_id") % 4 == lane).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        stream = T.normalized(T.read_landed(spark, f"{at}/in", pages.schema, files_per_batch=1))
+        T.ingest_batches(stream, f"{at}/out", f"{at}/state", order=["page_id"], availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("url", "page_id")
 
 
 @query("stream_run_metrics", "WITH " + V.RUNS_SQL + """,
@@ -311,15 +324,43 @@ def stream_late_rows(spark, folder):
 
 
 @query("stream_topics", rf"""
-WITH w AS (SELECT TIMESTAMP '2024-01-31 00:00:00' + to_seconds(doc_id) AS ts, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS topic FROM documents),
+WITH w AS (SELECT TIMESTAMP '2024-01-31 00:00:00' + to_minutes(doc_id) AS ts, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS topic FROM documents),
 f AS (SELECT * FROM w WHERE regexp_matches(topic, '^[A-Z][a-zA-Z0-9]{{2,}}$') AND lower(topic) NOT IN {Q.in_list(K.TREND_STOPWORDS)}),
-h AS (SELECT topic, date_trunc('hour', ts) + to_hours(k) AS until FROM f, (SELECT unnest(range(1, 25)) AS k))
-SELECT {Q.stamp('until')} AS until, topic, count(*) AS mentions FROM h GROUP BY until, topic""")
+h AS (SELECT topic, date_trunc('hour', ts) + to_hours(k) AS until FROM f, (SELECT unnest(range(1, 25)) AS k)),
+n AS (SELECT until, topic, count(*) AS mentions FROM h GROUP BY until, topic
+  HAVING until <= (SELECT max(TIMESTAMP '2024-01-31 00:00:00' + to_minutes(doc_id)) FROM documents) - INTERVAL 2 HOURS)
+SELECT {Q.stamp('until')} AS until, CAST(row_number() OVER (PARTITION BY until ORDER BY mentions DESC, topic) AS INTEGER) AS rank, topic, mentions FROM n
+QUALIFY row_number() OVER (PARTITION BY until ORDER BY mentions DESC, topic) <= 8""")
 def stream_topics(spark, folder):
-    """Mentions in sliding day windows, all windows given."""
-    cards = _article_stream(spark, folder).select(F.col("ingested_at").alias("created_at"), F.lit("").alias("headline"), "summary")
-    out = T.drain_complete(T.sliding_topics(cards), "topics", _flow_folder(spark))
-    return out.select(stamp("until").alias("until"), "topic", "mentions")
+    """The eight most mentioned topics of every sliding day window that the watermark has passed."""
+    cards = _article_stream(spark, folder).select(
+        F.timestamp_seconds(F.lit(1706659200) + F.col("id") * 60).alias("created_at"), F.lit("").alias("headline"), "summary")
+    at = _flow_folder(spark)
+    T.top_topics_batches(T.sliding_topics(cards), f"{at}/out", f"{at}/state", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(stamp("until").alias("until"), "rank", "topic", "mentions")
+
+
+@query("article_files", """
+WITH r AS (SELECT doc_id, 'https://x.org/' || doc_id // 2 AS link, CASE WHEN doc_id % 3 = 0 THEN 'array' ELSE 'lines' END AS kind FROM documents),
+g AS (SELECT link, arg_min(doc_id, (kind, doc_id)) AS doc_id FROM r WHERE doc_id % 5 <> 4 GROUP BY 1)
+SELECT 'record' AS kind, link, 'title ' || doc_id AS text FROM g
+UNION ALL SELECT 'broken', NULL, '{"link": ' || doc_id FROM r WHERE kind = 'lines' AND doc_id % 5 = 4""")
+def article_files(spark, folder):
+    """Records and broken lines of landed article files: JSON arrays in one folder, JSON lines in the other."""
+    at = _flow_folder(spark)
+    docs = V.table(spark, folder, "documents").select("doc_id", F.to_json(F.struct(
+        F.concat(F.lit("https://x.org/"), F.expr("doc_id div 2").cast("string")).alias("link"),
+        F.concat(F.lit("title "), F.col("doc_id").cast("string")).alias("title"))).alias("value"))
+    broken, third = F.col("doc_id") % 5 == 4, F.col("doc_id") % 3 == 0
+    arrays = docs.filter(third & ~broken).groupBy(F.expr("doc_id div 600").alias("file")).agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("doc_id", "value")))["value"], ",\n").alias("value"))
+    arrays.select(F.concat(F.lit("[\n"), "value", F.lit("\n]")).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{at}/array")
+    docs.filter(~third).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(
+        F.when(broken, F.concat(F.lit('{"link": '), F.col("doc_id").cast("string"))).otherwise(F.col("value")).alias("value")) \
+        .write.text(f"{at}/lines")
+    good, bad = SA.read_articles(spark, [f"{at}/array", f"{at}/lines"])
+    return good.select(F.lit("record").alias("kind"), "link", F.col("title").alias("text")).unionByName(
+        bad.select(F.lit("broken").alias("kind"), F.lit(None).cast("string").alias("link"), "text"))
 
 
 @query("stream_match_window", """
@@ -376,3 +417,31 @@ def stream_fetch_status(spark, folder):
     out = spark.read.parquet(f"{at}/out")
     last = out.agg(F.max("batch_no")).collect()[0][0]
     return out.filter(F.col("batch_no") == last).select("source", stamp("last_fetched_at").alias("last_fetched_at"), "items_found")
+
+
+def _landed(spark, df, at, lane, parts):
+    """Rows written as files that land one after the other, by the number in ``lane``, and a stream of one file per batch."""
+    for i in range(parts):
+        df.filter(lane == i).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return T.read_landed(spark, f"{at}/in", df.schema, files_per_batch=1)
+
+
+# a seventh of the articles lands last, after later ones; the rest in three batches
+_LATE = "CASE WHEN id % 7 = 0 THEN 3 ELSE id % 9 // 3 END"
+_STREAM_SQL = V.ONE_SHARD_SQL + f""",
+arrived_v AS (SELECT id AS own, row_number() OVER (ORDER BY {_LATE}, ingested_at, id) AS n FROM one_shard_v),
+stream_v AS (SELECT * REPLACE (n AS id) FROM one_shard_v JOIN arrived_v ON own = id)"""
+
+
+@query("stream_leaders", "WITH RECURSIVE " + _STREAM_SQL + leader_sql("stream_v").replace(
+    "SELECT x.id, coalesce(best.cluster_id, x.id) AS cluster_id, round(best.sim, 6) AS similarity FROM x LEFT JOIN best USING (id)",
+    """SELECT m.own AS id, l.own AS cluster_id, round(best.sim, 6) AS similarity FROM x LEFT JOIN best USING (id)
+  JOIN arrived_v m ON m.n = x.id JOIN arrived_v l ON l.n = coalesce(best.cluster_id, x.id)"""))
+def stream_leaders(spark, folder):
+    """Leader clusters of a stream in four batches; late and undated rows meet the leaders that are stored by then."""
+    at = _flow_folder(spark)
+    rows = V.one_shard(spark, folder).withColumnRenamed("raw_text", "summary").select(
+        "id", "title", "summary", "category", "state", "district", "published_at", "ingested_at")
+    lane = F.when(F.col("id") % 7 == 0, 3).otherwise(F.expr("id % 9 div 3"))
+    out = T.drain(TL.assign_leaders(_landed(spark, rows, at, lane, 4)), "leaders", at)
+    return out.select("id", "cluster_id", F.round("similarity", 6).alias("similarity"))

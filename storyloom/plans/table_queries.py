@@ -13,8 +13,10 @@ from storyloom.plans import fixtures as V
 from storyloom.plans import scoring_sql as SQ
 from storyloom.plans import sqltext as Q
 from storyloom.plans.registry import query
+from storyloom.session import new_folder
 from storyloom.sources import articles as SA
 from storyloom.sources import tables as ST
+from storyloom.sources.snapshots import read_version
 
 
 def stamp(c):
@@ -268,17 +270,22 @@ def repair_source(spark, folder):
     return J.repair_source(broken, V.sources(spark, folder)).select("card_id", "ord", "source_id", "trust_tier", "outcome")
 
 
-_STATE_TEXT = "raw_text || CASE WHEN id % 3 = 0 THEN ' Rain in ' || coalesce(state, 'Goa') || ', and Assam.' ELSE '' END"
+_PLACES = [(state, kw, i) for i, (state, kws) in enumerate(J.gazetteer_entries().items()) for kw in kws]
+# towns stand in a third of the texts, so that most keywords are met
+_STATE_TEXT = "raw_text || CASE WHEN id % 3 = 0 THEN ' Rain in ' || coalesce(state, 'Goa') || ', and Assam.' WHEN id % 3 = 1 THEN ' (' || (" \
+    + Q.lits([kw for _, kw, _ in _PLACES]) + f")[id % {len(_PLACES)} + 1] || ')!' ELSE '' END"
 
 
 @query("detect_states", "WITH " + V.ARTICLES_SQL + f""",
-g AS (SELECT unnest({Q.lits(V.STATE_NAMES)}) AS state, unnest(range({len(V.STATE_NAMES)})) AS ord),
+g AS (SELECT unnest({Q.lits([s for s, _, _ in _PLACES])}) AS state, unnest({Q.lits([k for _, k, _ in _PLACES])}) AS kw, unnest({[i for _, _, i in _PLACES]}) AS ord),
 t AS (SELECT id, ' ' || lower({_STATE_TEXT}) || ' ' AS low FROM articles_v)
-SELECT id, arg_min(g.state, g.ord) AS detected_state FROM t JOIN g
-  ON regexp_matches(low, '[\\s,.\\-:''"(\\[{{]' || lower(g.state) || '[\\s,.\\-:''")!\\]}}]') GROUP BY 1""")
+SELECT id, arg_min(g.state, g.ord) AS detected_state FROM t JOIN g ON contains(low, kw)
+  AND regexp_matches(low, '[\\s,.\\-:''"(\\[{{]' || kw || '[\\s,.\\-:''")!\\]}}]') GROUP BY 1""")
 def detect_states(spark, folder):
+    town = F.element_at(F.array(*[F.lit(kw) for _, kw, _ in _PLACES]), (F.col("id") % len(_PLACES) + 1).cast("int"))
     t = F.concat("raw_text", F.when(F.col("id") % 3 == 0, F.concat(
-        F.lit(" Rain in "), F.coalesce("state", F.lit("Goa")), F.lit(", and Assam."))).otherwise(""))
+        F.lit(" Rain in "), F.coalesce("state", F.lit("Goa")), F.lit(", and Assam."))).when(
+        F.col("id") % 3 == 1, F.concat(F.lit(" ("), town, F.lit(")!"))).otherwise(""))
     return J.detect_states(V.articles(spark, folder), J.gazetteer_rows(spark), "id", t)
 
 
@@ -380,7 +387,7 @@ WITH u AS (SELECT * FROM {_URLS}), n AS (SELECT DISTINCT link FROM u WHERE link
 SELECT (SELECT count(*) FROM u) AS offered, (SELECT count(*) FROM n) AS inserted, (SELECT count(*) FROM u) - (SELECT count(*) FROM n) AS duplicates""")
 def insert_counts(spark, folder):
     rows = _links(spark, folder)
-    return SA.insert_counts(rows, rows.filter("page_id % 3 = 0"))
+    return SA.write_new(rows, rows.filter("page_id % 3 = 0"), new_folder(spark, "inserts"))
 
 
 @query("insert_new", f"""
@@ -413,13 +420,17 @@ def upsert_cards(spark, folder):
     return ST.upsert_cards(old, again.union(more))
 
 
-@query("feed_snapshot", "WITH " + V.CARDS_SQL + """
-SELECT category, 'ok' AS status, '2024-02-01T00:00:00Z' AS updated_at, count(*) AS "count",
-  string_agg(card_id, ',' ORDER BY priority_score DESC, card_id) AS ids FROM cards_v GROUP BY 1""")
+@query("feed_snapshot", "WITH " + V.CARDS_SQL + """,
+o AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY priority_score DESC, card_id) - 1 AS place, count(*) OVER (PARTITION BY category) AS n FROM cards_v)
+SELECT category, 'ok' AS status, '2024-02-01T00:00:00Z' AS updated_at, n AS "count", place // 40 AS part,
+  string_agg(card_id, ',' ORDER BY place) AS ids FROM o GROUP BY category, n, place // 40""")
 def feed_snapshot(spark, folder):
+    """The stored snapshot, read back by its pointer."""
     cards = V.cards(spark, folder).select("card_id", "category", F.col("priority_score").cast("double").alias("final_feed_score"))
-    out = ST.feed_snapshot(cards, V.AS_OF, "category")
-    return out.select("category", "status", "updated_at", "count", F.array_join(
+    path = new_folder(spark, "snapshot")
+    ST.write_feed_snapshot(cards.filter("card_id % 2 = 0"), V.AS_OF, path, "category")
+    ST.write_feed_snapshot(cards, V.AS_OF, path, "category", size=40)
+    return read_version(spark, path).select("category", "status", "updated_at", "count", "part", F.array_join(
         F.transform("items.card_id", lambda c: c.cast("string")), ",").alias("ids"))
 
 
@@ -464,7 +475,7 @@ UNION ALL SELECT 'runs', (SELECT count(*) FROM runs_v), (SELECT count(*) FROM ru
 SELECT *, rows_in - rows_out AS skipped FROM s""")
 def migration_stats(spark, folder):
     tables, moved = _migration(spark, folder)
-    return ST.migration_stats(tables, moved)
+    return ST.write_migration(tables, moved, new_folder(spark, "migration"))
 
 
 @query("migrate_citations", "WITH " + _MIGRATE + f"""

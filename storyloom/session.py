@@ -40,6 +40,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """Path below the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 class Workspace:
     """Writes intermediate tables to the shared folder and reads them back.
 
@@ -49,7 +54,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, label)
         self.count = 0
         self.saved: list[tuple[DataFrame, str]] = []
 

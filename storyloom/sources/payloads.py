@@ -18,6 +18,7 @@ from storyloom.functions.text import (
     unescape,
 )
 from storyloom.functions.urls import normalize_url
+from storyloom.sources.pages import page_fields
 
 
 def _field(name: str) -> Column:
@@ -149,62 +150,14 @@ def live_entries(entries: DataFrame, as_of, feed: str, default_source: str, max_
 
 # --- pages ---------------------------------------------------------------------
 
-# Content nodes, in order of preference: (tag, attribute pattern).
-CONTENT_NODES = [
-    ("div", r"id=[\"']PdfDiv[\"']"),
-    ("div", r"class=[\"'](?:[^\"']*\s)?innner-page-main-about-us-content-right-part(?:\s[^\"']*)?[\"']"),
-    ("div", r"class=[\"'](?:[^\"']*\s)?ReleaseContent(?:\s[^\"']*)?[\"']"),
-    ("div", r"id=[\"']ReleaseContent[\"']"),
-    ("article", ""),
-    ("body", ""),
-]
-
-
-def extract_body(html, limit: int | None = 10000) -> Column:
-    """Visible text of the preferred content node, else of the body.
+def extract_meta(pages: DataFrame, html="html", keep=()) -> DataFrame:
+    """Title, summary, body paragraphs, author and date of an article page.
 
-    ``limit`` is the stored length of the column, None for whole texts.  Nested
-    ``div`` elements of the content node end at the first closing tag.
+    content has the text nodes directly inside paragraphs of content nodes, however deep these are; markup inside is skipped.
     """
-    html = html if isinstance(html, Column) else F.col(html)
-    bare = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
-    node = F.lit(None).cast("string")
-    for tag, attribute in CONTENT_NODES:
-        opening = rf"<{tag}\b[^>]*{attribute}[^>]*>"
-        inner = F.regexp_extract(bare, rf"(?is){opening}(.*?)(?:</{tag}>|$)", 1)
-        node = F.coalesce(node, F.when(bare.rlike(rf"(?is){opening}"), inner))
-    text = collapse(unescape(F.regexp_replace(node, r"<[^>]+>", " ")))
-    return text if limit is None else F.substring(text, 1, limit)
-
-
-def _meta(html: Column, key: str) -> Column:
-    """content of a meta tag by property or name, attributes in either order."""
-    k = key.replace(":", "\\:")
-    a = F.regexp_extract(html, rf"(?is)<meta[^>]*(?:property|name)=[\"']{k}[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)
-    b = F.regexp_extract(html, rf"(?is)<meta[^>]*content=[\"']([^\"']*)[\"'][^>]*(?:property|name)=[\"']{k}[\"']", 1)
-    return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
-
-
-def extract_meta(pages: DataFrame, html="html", keep=()) -> DataFrame:
-    """Title, summary, body paragraphs, author and date of an article page."""
-    doc = F.col(html)
-    h1 = F.nullif(strip(F.regexp_extract(doc, r"(?is)<h1[^>]*>([^<]*)", 1)), F.lit(""))
-    article = F.regexp_extract(doc, r"(?is)<article[^>]*>(.*?)</article>", 1)
-    # text nodes directly inside a paragraph: markup inside is skipped
-    paragraphs = F.regexp_extract_all(article, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|$)"), F.lit(1))
-    direct = F.transform(paragraphs, lambda p: F.regexp_replace(p, r"(?is)<(\w+)(?:\s[^>]*)?>[^<]*</\1>", "\n"))
-    nodes = F.filter(
-        F.flatten(F.transform(direct, lambda p: F.split(p, r"<[^>]+>|\n"))), lambda t: strip(t) != "")
-    return pages.select(
-        *keep,
-        unescape(F.coalesce(h1, _meta(doc, "og:title"), F.lit(""))).alias("title"),
-        unescape(strip(F.coalesce(_meta(doc, "og:description"), _meta(doc, "description"), F.lit("")))).alias("summary"),
-        unescape(F.array_join(F.transform(nodes, strip), " ")).alias("content"),
-        strip(F.coalesce(_meta(doc, "author"),
-                         F.nullif(F.regexp_extract(doc, r"(?is)<span[^>]*author-name[^>]*>([^<]*)", 1), F.lit("")),
-                         F.lit("WION Web Team"))).alias("author"),
-        parse_ts(_meta(doc, "article:published_time")).alias("published_at"),
-    )
+    read = pages.select(*keep, page_fields(html).alias("_page"))
+    return read.select(*keep, *[F.col(f"_page.{c}").alias(c) for c in ("title", "summary", "content", "author")],
+                       parse_ts(F.nullif(F.col("_page.published"), F.lit(""))).alias("published_at"))
 
 
 _LIST_ITEM = r"(?is)<li[^>]*>\s*<a[^>]*>(.*?)</a>(?:(?:&nbsp;|\s)*<font[^>]*>(.*?)</font>)?"

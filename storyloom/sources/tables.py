@@ -1,10 +1,13 @@
 """Result tables: card upserts, feed snapshots and the table migration."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from storyloom import constants as K
+from storyloom.functions.dates import as_of_column
 from storyloom.operators.joins import fk_clean, fk_null, not_in, repair_source
+from storyloom.operators.ranks import positions
+from storyloom.sources.snapshots import write_version
 
 REFRESHED = [
     "summary", "priority_score", "objective_score", "importance_score", "urgency_score", "freshness_score",
@@ -33,47 +36,31 @@ def upsert_cards(existing: DataFrame, new: DataFrame, key: str = "headline") ->
     return both.select(*[F.col(key) if c == key else pick(c).alias(c) for c in columns])
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write a new version beside the old one, then swap the folders."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    staged, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path + ".old")
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(staged, target)
+def feed_snapshot(cards: DataFrame, as_of, by: str | None = None, limit: int | None = None, size: int = 500) -> DataFrame:
+    """Envelope rows (status, updated_at, count, part) with the items in score order, at most ``size`` of them in a row.
 
-
-def feed_snapshot(cards: DataFrame, as_of, by: str | None = None, limit: int | None = None) -> DataFrame:
-    """Envelope rows (status, updated_at, count) with the items in score order.
-
-    One envelope per ``by`` value; with ``limit`` only the leading items are
-    nested (the count stays whole).
+    Envelopes are numbered from 0 for each ``by`` value, so a key of any size is spread over rows; with ``limit`` only the
+    leading items are nested (the count stays whole). Places come from ranges of the order, not from one task per key.
     """
-    from storyloom.functions.dates import as_of_column
-    from storyloom.operators.feed import cap_per_group
-
     key = by or "_all"
     rows = cards if by else cards.withColumn("_all", F.lit("all"))
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
-    top = rows if limit is None else cap_per_group(rows, key, [F.desc("final_feed_score"), "card_id"], limit)
-    item = F.struct((-F.col("final_feed_score")).alias("o"), F.struct(*[c for c in cards.columns if c != by]).alias("item"))
-    items = top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda e: e["item"]).alias("items"))
+    placed = positions(rows, [F.asc_nulls_first(key), F.desc("final_feed_score"), F.asc("card_id")], "_place")
+    start = placed.groupBy(key).agg(F.min("_place").alias("_start"))
+    placed = placed.join(start, placed[key].eqNullSafe(start[key])).select(placed["*"], (F.col("_place") - F.col("_start")).alias("_at"))
+    if limit is not None:
+        placed = placed.filter(F.col("_at") < limit)
+    item = F.struct(F.col("_at").alias("o"), F.struct(*[c for c in cards.columns if c != by]).alias("item"))
+    items = placed.groupBy(key, F.floor(F.col("_at") / size).alias("part")).agg(
+        F.transform(F.array_sort(F.collect_list(item)), lambda e: e["item"]).alias("items"))
     stamp = F.date_format(as_of_column(as_of), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    out = counts.join(items, key).select(
-        *([by] if by else []), F.lit("ok").alias("status"), stamp.alias("updated_at"), "count", "items")
-    return out
+    return items.join(counts, items[key].eqNullSafe(counts[key])).select(
+        *([items[by]] if by else []), F.lit("ok").alias("status"), stamp.alias("updated_at"), "count", "part", "items")
 
 
-def write_feed_snapshot(cards: DataFrame, as_of, path: str, by: str | None = None) -> None:
-    """Snapshot as JSON lines: one ordered file per partition of the score order."""
-    if by:
-        feed_snapshot(cards, as_of, by).write.mode("overwrite").json(path)
-    else:
-        cards.orderBy(F.desc("final_feed_score"), "card_id").write.mode("overwrite").json(path)
+def write_feed_snapshot(cards: DataFrame, as_of, path: str, by: str | None = None, limit: int | None = None, size: int = 500) -> str:
+    """A new version of the stored snapshot, see ``snapshots.write_version``; readers never meet half of one."""
+    return write_version(feed_snapshot(cards, as_of, by, limit, size), path)
 
 
 def migrate(tables: dict[str, DataFrame], target: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
@@ -114,17 +101,19 @@ def migrate(tables: dict[str, DataFrame], target: dict[str, DataFrame] | None =
     return out
 
 
-def migration_stats(tables: dict[str, DataFrame], moved: dict[str, DataFrame]) -> DataFrame:
-    """Rows in and out per table, as one small table."""
-    parts = []
+def write_migration(tables: dict[str, DataFrame], moved: dict[str, DataFrame], path: str) -> DataFrame:
+    """Writes every moved table and gives rows in, rows out and skipped per table, as one small table.
+
+    Rows out are observed in the pass that writes, in its last stage, where a task that runs again counts once; rows in
+    need no column of a table, so Parquet answers them from its footers.
+    """
+    spark, out = next(iter(moved.values())).sparkSession, []
     for name, df in moved.items():
-        before = tables[name].agg(F.count(F.lit(1)).alias("rows_in"))
-        after = df.agg(F.count(F.lit(1)).alias("rows_out"))
-        parts.append(before.join(after).select(F.lit(name).alias("table_name"), "rows_in", "rows_out"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.withColumn("skipped", F.col("rows_in") - F.col("rows_out"))
+        seen = Observation(name)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/{name}")
+        out.append((name, tables[name].count(), seen.get.get("n", 0)))
+    return spark.createDataFrame(out, "table_name string, rows_in long, rows_out long") \
+        .withColumn("skipped", F.col("rows_in") - F.col("rows_out"))
 
 
 SENTINEL = (K.SENTINEL_SOURCE_ID, "Legacy Unresolved Provenance", "3")
