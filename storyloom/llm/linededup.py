@@ -157,15 +157,14 @@ def _alike(docs: DataFrame, numbers: DataFrame) -> DataFrame:
     return out
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, spare: float | None = None,
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST,
                 names: tuple[str, str] = ("line_count", "line_drops"), copies: bool = False) -> DataFrame:
     """The rows of docs, all columns in order, with the text cut to its kept lines, and behind them the numbers of lines
     and of dropped lines, called as ``names`` says.
 
     A line goes if an equal line has an earlier place (smaller doc_id, then smaller line number), or if it has ``least`` or more
     characters and so has another line within ``edits`` edits (insertions, deletions, exchanged characters), whether or not that one
-    stays: lines are judged on the input. Blank lines stay. With ``spare``, a text of which more than that share of its non-blank lines
-    would go is left whole: it is a copy, a matter of near-duplicate search, not of boilerplate. With ``copies``, rows whose whole
+    stays: lines are judged on the input. Blank lines stay. With ``copies``, rows whose whole
     text has an earlier row lose the lines that the first such row loses and no others, so they stay copies of it.
     A null text stays null and has no lines; an empty one has one, blank. Rows of one doc_id stand at one place: their lines are no
     repeats of each other at equal numbers; a row without an id comes last. Empty tables give empty results. If docs has columns of the two
@@ -185,10 +184,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, spare:
     rows = left.join(held, (F.coalesce(left["doc_id"].cast("long"), F.lit(_LAST)) == F.col(doc))
                      & (F.xxhash64(F.coalesce(left["text"].cast("string"), F.lit(""))) == F.col(digest)), "left")
     lines = F.split(text, "\n")
-    full = F.size(F.filter(lines, lambda x: F.trim(x) != ""))
     gone = F.coalesce(F.size(drops), F.lit(0))
-    if spare is not None:
-        gone = F.when(gone > spare * full, 0).otherwise(gone)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(drops), i)), "\n")
     return rows.withColumn(count, gone).select(
         *(F.when(F.col(count) > 0, kept).otherwise(text).alias("text") if c == "text" else F.col(c) for c in own),

@@ -54,9 +54,3 @@ def test_against_brute_force(spark):
     rows = [(i, "\n".join(changed(rng.choice(base)) for _ in range(rng.randint(1, 6))), "s") for i in range(80)]
     rows += [(100 + i, base[0][:-1] + chr(97 + i) + "\n\nshort line\nshort linf", "s") for i in range(20)]
     assert run(frame(spark, rows).repartition(3)) == brute(rows)
-
-
-def test_copies_can_be_spared(spark):
-    rows = [(1, "first line of the text here\nsecond line of the text here", "s"), (2, "first line of the text here\nsecond line of the text here", "s"),
-            (3, "first line of the text here\nsomething else, quite another line\nand a third, unlike the others", "s")]
-    assert [r[3] for r in run(frame(spark, rows), spare=0.5)] == [0, 0, 1]

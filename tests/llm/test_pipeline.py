@@ -21,10 +21,13 @@ def test_stages_on_the_smallest_tables(spark):
 
     lined = P.drop_lines(spark, docs, FOLDER)
     assert lined.columns == columns
-    want = {}
-    for (i, text, _, drops), (_, whole, _) in zip(sorted(brute_lines(read(docs)), key=lambda r: int(r[0])), sorted(read(docs))):
-        full = sum(1 for x in whole.split("\n") if x.strip(" "))
-        want[int(i)] = whole if drops > P.SPARE * full else text
+    rows = sorted(read(docs))
+    cut = {int(i): text for i, text, _, _ in brute_lines(rows)}
+    first = {}
+    for i, whole, _ in rows:
+        first.setdefault(whole, i)
+    # copies of a whole text are cut as the first of them is
+    want = {i: cut[first[whole]] for i, whole, _ in rows}
     assert {r.doc_id: r.text for r in lined.collect()} == want
     assert all(r.n_chars == len(r.text) for r in lined.collect())
 
@@ -58,5 +61,13 @@ def test_edges_pass_through(spark, edge, none):
     assert sorted(str(r.doc_id) for r in one) == sorted(map(str, [0, 1, 2, 3, 4, 7, None, 9]))
 
 
+def test_rows_that_share_an_id(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(7, long, "a"), (7, "quite another text stands in this row, word for word", "a"), (7, long, "a"), (9, None, "a"), (9, None, "b"),
+            (8, long, "c"), (None, "a b c d e f g", "s"), (None, "h i j k l m n", "s")]
+    got = P.drop_near_duplicates(spark, frame(spark, rows), FOLDER).collect()
+    assert sorted(((r.doc_id, r.text, r.source) for r in got), key=str) == sorted(set(rows) - {(8, long, "c")}, key=str)
+
+
 def test_run(spark):
     assert P.run(spark, FOLDER).columns == ["doc_id", "source", "size", "source_size", "target", "copies", "taken"]
