@@ -7,7 +7,7 @@ treated as the stage's operator says; an empty table passes through as an empty
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm import decontamination, linededup, mixing, neardup, toxicity
@@ -57,18 +57,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near-duplicates, five-word shingles, similarity of 0.8 or more.
 
-    Of rows that share an id one stays, the first by its text; rows without an id stay.
+    Of rows that share id and text the first by their other columns stays; rows of one id with other texts, with null
+    texts, or without an id are no duplicates of each other.
     """
     room = Workspace(spark, "pipeline")
     found = neardup.near_duplicates(docs, k=5, percent=80)
     rest = _without(docs, room.save(found.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "dropped"))
-    again = room.save(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
+    again = room.save(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).groupBy("doc_id").count().where("count > 1")
                       .select(F.col("doc_id").alias("id")), "again")
     if again.isEmpty():
         return rest
-    one = rest.join(again, rest["doc_id"] == again["id"], "left_semi") \
-        .groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.col("text")).alias("row")).select("row.*")
-    return _without(rest, again).unionByName(one)
+    place = _free(docs, "place")
+    order = [F.asc_nulls_first(c) for c, kind in docs.dtypes if "map<" not in kind]
+    several = rest.join(again, rest["doc_id"] == again["id"], "left_semi").withColumn(
+        place, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order)))
+    return _without(rest, again).unionByName(several.where(F.col("text").isNull() | (F.col(place) == 1)).drop(place))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
