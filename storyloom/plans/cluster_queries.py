@@ -6,6 +6,7 @@ from storyloom import constants as K
 from storyloom.functions.text import norm
 from storyloom.operators import clustering as L
 from storyloom.operators import similarity as M
+from storyloom.operators import vector_join as VJ
 from storyloom.operators import verification as C
 from storyloom.plans import fixtures as V
 from storyloom.plans import sqltext as Q
@@ -158,6 +159,37 @@ def first_match_clusters_sharded(spark, folder):
     return L.first_match_cluster(V.articles(spark, folder), V.AS_OF)
 
 
+_EMBEDDED_SQL = V.ONE_SHARD_SQL + """,
+embedded_v AS (SELECT a.* REPLACE (CASE WHEN id % 6 = 0 THEN NULL ELSE category END AS category),
+    CASE WHEN id % 12 = 0 THEN 'Elsewhere' ELSE 'National' END AS source_category, e.embedding::DOUBLE[] AS vector
+  FROM one_shard_v a LEFT JOIN embeddings e ON e.vec_id = a.id AND a.id % 3 <> 1)"""
+
+
+@query("first_match_embedded", "WITH RECURSIVE " + _EMBEDDED_SQL + _first_sql("embedded_v").replace(
+    "SELECT id, category, state,", "SELECT id, category, coalesce(category, source_category) AS want, vector, state,").replace(
+    "a.category IS NULL OR a.category = b.category", "a.want = b.category").replace(
+    "par AS MATERIALIZED", """ve AS (SELECT p.a, p.b, round(list_dot_product(x.vector, y.vector) / sqrt(list_dot_product(x.vector, x.vector) * list_dot_product(y.vector, y.vector)), 12) AS sim
+  FROM p JOIN k x ON x.id = p.a JOIN k y ON y.id = p.b WHERE x.vector IS NOT NULL AND y.vector IS NOT NULL),
+both_sim AS MATERIALIZED (SELECT * FROM ve UNION ALL SELECT a, b, sim FROM n_sim ANTI JOIN ve USING (a, b)),
+par AS MATERIALIZED""").replace("FROM n_sim s WHERE", "FROM both_sim s WHERE"))
+def first_match_embedded(spark, folder):
+    """First-match clusters by vectors where both articles have one; sources stand in for missing categories."""
+    arts = V.one_shard(spark, folder)
+    vectors = V.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding").filter("id % 3 <> 1")
+    arts = arts.withColumn("category", F.when(F.col("id") % 6 != 0, F.col("category"))).withColumn(
+        "source_category", F.when(F.col("id") % 12 == 0, "Elsewhere").otherwise("National"))
+    return L.first_match_cluster(arts.join(vectors, "id", "left"), V.AS_OF)
+
+
+@query("similar_embeddings", """
+WITH v AS (SELECT min(vec_id) AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings GROUP BY embedding),
+s AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 12) AS sim
+  FROM v a JOIN v b ON a.id < b.id)
+SELECT a, b, round(sim, 6) AS similarity FROM s WHERE sim >= 0.35""")
+def similar_embeddings(spark, folder):
+    return VJ.similar_vectors(V.table(spark, folder, "embeddings"), 0.35).withColumn("similarity", F.round("similarity", 6))
+
+
 # --- sources and conflicts ---------------------------------------------------------------------------
 
 def _citations(spark, folder):
