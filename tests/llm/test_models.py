@@ -1,9 +1,12 @@
 """Toxicity, quality and url models: held-out accuracy and edges."""
 
+import zlib
+
 import numpy as np
 import pytest
 
 from storyloom.llm import quality, queries, toxicity, urlfilter
+from storyloom.llm.textblocks import Block
 
 
 def area(rows):
@@ -60,3 +63,48 @@ def test_url_ratio_tells_classes_apart(spark):
 
     d = model.difference(Block(None, [b"http://spam-pills9999.example.com/", b"http://library9999.example.com/", b""]))
     assert d[0] < model.threshold <= d[1] and d[2] == 0
+
+
+def plain_logs(url, counts, order=5, prior=3.0):
+    """Log-probabilities of a url's bytes from exact dictionaries."""
+    out = []
+    for i, b in enumerate(url):
+        p = 1 / 256
+        for k in range(order + 1):
+            context = (k, url[max(i - k, 0):i], i < k)
+            seen = counts.get(context, {})
+            p = (seen.get(b, 0) + prior * p) / (sum(seen.values()) + prior)
+        out.append(np.log(p))
+    return out
+
+
+def test_url_models_against_dictionaries(spark):
+    rng = np.random.default_rng(2)
+    urls = ["http://" + "".join(rng.choice(list("abé/.-"), rng.integers(0, 30))) for _ in range(120)]
+    rows = [(i, u, bool(i % 3), "k") for i, u in enumerate(urls)] + [(500, None, True, "k"), (501, "", True, "k"), (502, urls[0], None, "k")]
+    model = urlfilter.train(spark.createDataFrame(rows, "page_id long, url string, accepted boolean, key string").repartition(4))
+    counts = ({}, {})
+    for i, u in enumerate(urls):
+        if zlib.crc32(str(i).encode()) % urlfilter.HELD:
+            raw = u.encode()
+            for at, b in enumerate(raw):
+                for k in range(6):
+                    seen = counts[bool(i % 3)].setdefault((k, raw[max(at - k, 0):at], at < k), {})
+                    seen[b] = seen.get(b, 0) + 1
+    texts = [u.encode() for u in urls[:40]] + [b"", b"ftp://zzz", b"\x00\x00a"]
+    logs = model.logs(Block(None, texts))
+    for label in (0, 1):
+        assert np.allclose(logs[label], np.concatenate([plain_logs(t, counts[label]) for t in texts]))
+
+
+def test_url_probabilities_add_up(spark, monkeypatch):
+    """60,000 varied urls, more contexts than the model holds: every context's next bytes still have a probability of 1."""
+    monkeypatch.setattr(urlfilter, "ENTRIES", 20_000)
+    rows = spark.range(60_000).selectExpr("id as page_id", "id % 2 = 0 as accepted",
+                                          "concat('https://h', id % 700, '.example.org/', substr(md5(cast(id as string)), 1, 12)) as url")
+    model = urlfilter.train(rows)
+    assert 5_000 < len(model.followers) <= 20_000
+    for context in (b"", b"https://h", b"https://h12.example.org/ab", b"q~q"):
+        block = Block(None, [context + bytes([b]) for b in range(256)])
+        last = block.lengths.cumsum() - 1
+        assert np.allclose(np.exp(model.logs(block)[:, last]).sum(1), 1)
