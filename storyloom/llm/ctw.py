@@ -1,4 +1,4 @@
-"""Language-model scores by context-tree weighting over binary-decomposed bytes of words."""
+"""Language-model scores by context-tree weighting over the binary-decomposed bytes of texts."""
 
 from __future__ import annotations
 
@@ -14,14 +14,15 @@ from storyloom.session import Workspace
 from .tables import fold, parts
 from .textblocks import SPACES, Block, Hasher, blocks, per_row, words
 
-#: Bytes of context. A context ends where its word starts; there it is filled with START.
+#: Bytes of context; what stands before a text, and its end.
 DEPTH, START, END = 6, 10, 10
-#: Text of a batch, whose distinct words are looked up together.
-BATCH_BYTES = 4 << 20
+#: Text of a batch, whose distinct words and contexts are counted and looked up together.
+BATCH_BYTES = 8 << 20
+#: Batches whose counts one task adds up; bytes of questions that one task answers.
+FAN_IN, ANSWER_BYTES = 32, 32 << 20
 
 _BITS = 8
 _LOG2 = np.log(2.0)
-_END_KEY = int("".join(f"{c:02x}" for c in [START] * DEPTH + [END]), 16)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -38,18 +39,42 @@ def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - np.log(np.pi)
 
 
-def byte_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of words that end in a space: its context, latest byte first, and the byte, in one number; its word."""
-    data = np.frombuffer(blob, np.uint8)
-    stops = np.flatnonzero(data == 32)
-    lengths = np.diff(np.concatenate([[-1], stops]))
-    begin = np.repeat(stops - lengths + 1, lengths)
-    at = np.arange(len(data))
+def stream(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes that are scored: of each text its words, A-Z in lower case, with one space between them, and END. Also
+    where each text begins, the text of each byte, and the starts and ends of words in the block."""
+    data = block.lower().copy()
+    starts, ends = words(data, SPACES)
+    counts = per_row(starts, block.offsets)
+    keep = ~SPACES[data]
+    data[ends], keep[ends] = 32, True
+    last = np.cumsum(counts)
+    close = np.where(counts > 0, ends[np.maximum(last - 1, 0)] if len(ends) else 0, block.offsets[1:] - 1)
+    data[close], keep[close] = END, True
+    owner = np.repeat(np.arange(len(block)), np.diff(block.offsets))[keep]
+    return data[keep], np.searchsorted(owner, np.arange(len(block))), owner, starts, ends
+
+
+def byte_keys(data: np.ndarray, begins: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each byte its context, latest byte first, and the byte, in one number. Contexts reach across words to the start
+    of the text and are filled with START beyond it."""
+    begin, at = begins[owner], np.arange(len(data))
     keys = data.astype(np.uint64)
     for d in range(1, DEPTH + 1):
         earlier = np.where(at - d >= begin, data[np.maximum(at - d, 0)], START).astype(np.uint64)
         keys |= earlier << np.uint64(8 * (DEPTH + 1 - d))
-    return keys, np.repeat(np.arange(len(stops)), lengths)
+    return keys
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed planes of bytes of their differences."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return len(keys).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(steps).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(pa.decompress(raw[4:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,49 +155,51 @@ class Upper:
         return p
 
 
-def _planes(tokens: np.ndarray) -> bytes:
-    """Token numbers as three compressed planes of bytes."""
-    raw = tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]
-    return pa.compress(np.ascontiguousarray(raw).tobytes(), codec="zstd", asbytes=True)
-
-
-def _tokens(raw: bytes, count: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(raw, decompressed_size=3 * count, codec="zstd", asbytes=True), np.uint8).reshape(3, count)
-    return planes[0].astype(np.int64) | planes[1].astype(np.int64) << 8 | planes[2].astype(np.int64) << 16
+def _own_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, groups: int):
+    """Distinct words of a batch in the order of their groups, the number of each word there, and where groups begin."""
+    hashes = Hasher(data).pieces(starts, ends)
+    distinct, first, tokens = np.unique(hashes, return_index=True, return_inverse=True)
+    group = (distinct % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return first[order], place[tokens], np.searchsorted(group[order], np.arange(groups + 1))
 
 
 def _batched(docs: DataFrame, groups: int, folds: int, apart: int) -> DataFrame:
-    """A row for each batch of texts: the documents, their words as numbers, and its distinct words dealt into groups."""
+    """A row for each batch of texts: the documents, their compressed bytes, the distinct words dealt into groups, and the
+    distinct contexts by stem, each with how often the learnt texts have it."""
 
     def run(batches):
         task, serial = TaskContext.get().partitionId(), 0
         for block in blocks(batches, limit=BATCH_BYTES):
-            data = block.lower()
-            starts, ends = words(data, SPACES)
-            counts = per_row(starts, block.offsets)
-            hashes = Hasher(data).pieces(starts, ends)
-            distinct, first, tokens = np.unique(hashes, return_index=True, return_inverse=True)
-            learnt = np.repeat(~block.column("held").astype(bool), counts)
-            seen = np.bincount(tokens[learnt], minlength=len(distinct))
-            group = (distinct % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            text = data.tobytes()
-            names = [text[starts[i]:ends[i]] for i in first[order]]
-            cuts = np.searchsorted(group[order], np.arange(groups + 1))
+            data, begins, owner, starts, ends = stream(block)
+            held = block.column("held").astype(bool)
+            lower = block.lower()
+            first, tokens, cuts = _own_words(lower, starts, ends, groups)
+            learnt = np.repeat(~held, per_row(starts, block.offsets))
+            seen = np.bincount(tokens[learnt], minlength=len(first))
+            text = lower.tobytes()
+            names = [text[starts[i]:ends[i]] for i in first]
             blobs = [b"".join(x + b" " for x in names[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-            numbers = [seen[order[a:b]].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            numbers = [seen[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            keys, at = np.unique(byte_keys(data, begins, owner), return_inverse=True)
+            often = np.bincount(at[~held[owner]], minlength=len(keys))
+            stems = [{"stem": s, "keys": _pack(k), "n": pa.compress(c["n"].astype("<i4").tobytes(), codec="zstd", asbytes=True)}
+                     for s, k, c in _by_stem(keys, n=often)]
             yield pa.RecordBatch.from_pydict({
                 "batch": pa.array([(task << 32) + serial], pa.int64()), "ids": pa.array([block.rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                "held": pa.array([block.column("held").astype(np.uint8).tobytes()], pa.binary()),
-                "lengths": pa.array([counts.astype("<i8").tobytes()], pa.binary()), "tokens": pa.array([_planes(place[tokens])], pa.binary()),
-                "words": pa.array([blobs], pa.list_(pa.binary())), "seen": pa.array([numbers], pa.list_(pa.binary()))})
+                "held": pa.array([held.astype(np.uint8).tobytes()], pa.binary()),
+                "lengths": pa.array([np.diff(np.append(begins, len(data))).astype("<i8").tobytes()], pa.binary()),
+                "size": pa.array([len(data)], pa.int64()), "data": pa.array([pa.compress(data.tobytes(), codec="zstd", asbytes=True)], pa.binary()),
+                "words": pa.array([blobs], pa.list_(pa.binary())), "seen": pa.array([numbers], pa.list_(pa.binary())),
+                "stems": pa.array([stems], pa.list_(pa.struct([("stem", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])))})
             serial += 1
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold(F.col("doc_id"), folds) == apart, F.lit(False)).alias("held"),
                        F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "batch long, ids array<long>, held binary, lengths binary, tokens binary, words array<binary>, seen array<binary>")
+    return rows.mapInArrow(run, "batch long, ids array<long>, held binary, lengths binary, size long, data binary, words array<binary>, "
+                                "seen array<binary>, stems array<struct<stem: int, keys: binary, n: binary>>")
 
 
 def _vocabulary(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -181,11 +208,10 @@ def _vocabulary(key, frame: pd.DataFrame) -> pd.DataFrame:
     starts, ends = words(block.raw, SPACES)
     counts = np.concatenate([np.frombuffer(x, "<i4") for x in frame["seen"]]).astype(np.int64)
     hashes = Hasher(block.raw).pieces(starts, ends)
-    distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+    distinct, at = np.unique(hashes, return_inverse=True)
     sums = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
-    text = block.raw.tobytes()
     return pd.DataFrame({"group": [key[0]], "known": [int((sums > 0).sum())], "total": [int(sums.sum())],
-                         "words": [b"".join(text[starts[i]:ends[i]] + b" " for i in first)], "seen": [sums.tobytes()]})
+                         "hashes": [distinct.tobytes()], "seen": [sums.tobytes()]})
 
 
 def _by_stem(keys: np.ndarray, **columns: np.ndarray):
@@ -196,31 +222,37 @@ def _by_stem(keys: np.ndarray, **columns: np.ndarray):
         yield int(stem[a]), keys[a:b], {c: v[a:b] for c, v in columns.items()}
 
 
-def _counted(frames):
-    for frame in frames:
-        for blob, seen in zip(frame["words"], frame["seen"]):
-            keys, word = byte_keys(blob)
-            counts = np.frombuffer(seen, np.int64)[word]
-            keys, sums = _sum_by(keys[counts > 0], counts[counts > 0])
-            rows = [(s, k.tobytes(), c["n"].tobytes()) for s, k, c in _by_stem(keys, n=sums)]
-            yield pd.DataFrame(rows, columns=["stem", "keys", "n"])
+def _counts(raw: bytes, n: int, width: int) -> np.ndarray:
+    data = pa.decompress(raw, decompressed_size=width * n, codec="zstd", asbytes=True)
+    return np.frombuffer(data, "<i4" if width == 4 else "<i8").astype(np.int64)
 
 
 def _joined(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return _sum_by(np.frombuffer(b"".join(frame["keys"]), np.uint64), np.frombuffer(b"".join(frame["n"]), np.int64))
+    """Keys of several rows and their summed counts; keys that no learnt text has go."""
+    keys = [_unpack(x) for x in frame["keys"]]
+    counts = [_counts(x, len(k), w) for x, k, w in zip(frame["n"], keys, frame["width"])]
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    return _sum_by(keys[counts > 0], counts[counts > 0])
+
+
+def _merged(key, frame: pd.DataFrame) -> pd.DataFrame:
+    keys, counts = _joined(frame)
+    return pd.DataFrame({"stem": [key[0]], "part": [key[1]], "keys": [_pack(keys)], "width": [8],
+                         "n": [pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True)]})
 
 
 def _subtree(key, frame: pd.DataFrame) -> pd.DataFrame:
     """Counts of a stem, summed, and what its node of depth 2 passes upward."""
     keys, counts = _joined(frame)
-    tree, rows = Tree(keys, counts, 2), []
+    tree = Tree(keys, counts, 2)
     zeros, ones, whole = np.zeros(256), np.zeros(256), np.zeros(256)
     for j in range(_BITS):
         node, z, o, w, _ = tree.nodes[2, j]
         at = (node & np.uint64(255)).astype(np.int64) + (1 << j)
         zeros[at], ones[at], whole[at] = z, o, w
-    rows.append((key[0], key[0] >> 8, keys.tobytes(), counts.tobytes(), np.concatenate([zeros, ones, whole]).tobytes()))
-    return pd.DataFrame(rows, columns=["stem", "latest", "keys", "n", "up"])
+    n = pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+    return pd.DataFrame([(key[0], key[0] >> 8, _pack(keys), n, np.concatenate([zeros, ones, whole]).tobytes())],
+                        columns=["stem", "latest", "keys", "n", "up"])
 
 
 def _latest(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -228,64 +260,50 @@ def _latest(key, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"latest": [key[0]], "up": [total.tobytes()]})
 
 
-def _asked(frames):
-    for frame in frames:
-        for group, blob in zip(frame["group"], frame["words"]):
-            keys = np.unique(byte_keys(blob)[0])
-            yield pd.DataFrame([(s, group, k.tobytes()) for s, k, _ in _by_stem(keys)], columns=["stem", "group", "keys"])
-
-
 def _answers(held):
     def run(key, known: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = (np.frombuffer(known[c].iloc[0], t) if len(known) else np.zeros(0, t) for c, t in (("keys", np.uint64), ("n", np.int64)))
+        if not len(asked):
+            return pd.DataFrame({"batch": [], "stem": [], "logs": []})
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(known):
+            keys = _unpack(known["keys"].iloc[0])
+            counts = _counts(known["n"].iloc[0], len(keys), 8)
         tree = Tree(keys, counts, 2)
-        lists = [np.frombuffer(x, np.uint64) for x in asked["keys"]]
-        if not lists:
-            return pd.DataFrame({"group": [], "stem": [], "logs": []})
+        lists = [_unpack(x) for x in asked["keys"]]
         distinct = np.unique(np.concatenate(lists))
         logs = sum(np.log10(tree.blend(distinct, j, held.value)) for j in range(_BITS)).astype(np.float32)
-        return pd.DataFrame({"group": asked["group"], "stem": key[0],
+        return pd.DataFrame({"batch": asked["batch"], "stem": key[0],
                              "logs": [logs[np.searchsorted(distinct, x)].tobytes() for x in lists]})
 
     return run
 
 
-def _word_scores(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """For each batch that has words of this group, in its order: their counts and log10 probabilities."""
-    own, answers, asked = (frame[frame["kind"] == k] for k in (0, 1, 2))
-    logs = np.frombuffer(b"".join(answers.sort_values("stem")["logs"]), np.float32).astype(float)
-    blob = own["words"].iloc[0]
-    wanted, word = byte_keys(blob)
-    keys = np.unique(wanted)
-    counts = np.frombuffer(own["seen"].iloc[0], np.int64)
-    score = np.bincount(word, weights=logs[np.searchsorted(keys, wanted)], minlength=len(counts))
+def _word_counts(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """For each batch that has words of this group, in its order, how often the learnt texts have them."""
+    names, counts = np.frombuffer(own["hashes"].iloc[0], np.uint64), np.frombuffer(own["seen"].iloc[0], np.int64)
 
     def hashes(raw):
         data = np.frombuffer(raw + b" ", np.uint8)
         return Hasher(data).pieces(*words(data, SPACES))
 
-    names = hashes(blob)
-    order = np.argsort(names)
-    names = names[order]
-    out = []
-    for batch, raw in zip(asked["batch"], asked["words"]):
-        at = order[np.searchsorted(names, hashes(raw))]
-        out.append((batch, key[0], counts[at].tobytes(), score[at].astype(np.float32).tobytes()))
-    return pd.DataFrame(out, columns=["batch", "group", "seen", "logs"])
+    out = [(batch, key[0], counts[np.searchsorted(names, hashes(raw))].tobytes()) for batch, raw in zip(asked["batch"], asked["words"])]
+    return pd.DataFrame(out, columns=["batch", "group", "seen"])
 
 
 def score(docs: DataFrame, folds: int = 7, apart: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     Learns from all rows whose crc32 of the id as text is not ``apart`` modulo ``folds``. A text is its words, A-Z in lower
-    case, and an end. Its score is the log10 probability of their bytes, each word followed by a space and the text by an
-    end mark: each bit of a byte is predicted from the bits before it and up to DEPTH bytes of its word before it, and
-    context-tree weighting mixes the Krichevsky-Trofimov estimates of all these depths with exact posterior weights. base_score is the
-    add-one estimate of the words. Also see ``code_length``.
-
-    Batches of texts send their distinct words to groups by hash, groups their distinct contexts to stems (the two latest
-    bytes), where the trees are built; answers return the same way. So what is shuffled are distinct words and contexts per
-    batch or group, no word is hot, and only depths 0 and 1 of the trees, of fixed size, pass through the driver.
+    case, and an end. Its score is the log10 probability of its bytes, words with one space between them and an end mark:
+    each bit of a byte is predicted from the bits before it and up to DEPTH bytes of the text before it, across words, and
+    context-tree weighting mixes the Krichevsky-Trofimov estimates of all these depths with exact posterior weights.
+    base_score is the add-one estimate of the words. Also see ``code_length``.
+
+    A batch of texts counts its distinct contexts and sends them to stems, by the two latest bytes. Counts of a stem are
+    added up FAN_IN batches at a time, so what one task gathers is bounded by the distinct contexts of a stem; then trees
+    are built. The same keys ask: questions of a stem are split into tasks of ANSWER_BYTES, each with the stem's tree, and
+    answers return to the batches. Only depths 0 and 1 of the trees, of fixed size, pass through the driver. Words are
+    counted likewise, by groups.
     A null or empty text is an end alone. A row without an id counts as learnt from. Repeated rows teach once each and
     score alike. An empty table gives an empty result; other columns are not read.
     """
@@ -296,7 +314,7 @@ def score(docs: DataFrame, folds: int = 7, apart: int = 2) -> DataFrame:
     requests = stored.select("batch", F.posexplode(F.arrays_zip("words", "seen")).alias("group", "both")).select(
         "batch", "group", F.col("both.words").alias("words"), F.col("both.seen").alias("seen")).where(F.octet_length("words") > 0)
     lists = room.save(requests.groupBy("group").applyInPandas(
-        _vocabulary, "group int, known long, total long, words binary, seen binary"), "vocabulary")
+        _vocabulary, "group int, known long, total long, hashes binary, seen binary"), "vocabulary")
 
     def ends(frames):
         for frame in frames:
@@ -305,50 +323,62 @@ def score(docs: DataFrame, folds: int = 7, apart: int = 2) -> DataFrame:
     known, total = lists.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).collect()[0]
     texts = stored.select("held").mapInPandas(ends, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
     train_tokens, distinct = total + texts, known + (texts > 0)
-    counted = lists.select("words", "seen").mapInPandas(_counted, "stem int, keys binary, n binary")
-    end_key, stem = np.array([_END_KEY], np.uint64), _END_KEY >> 8 * (DEPTH - 1)
-    if texts:
-        counted = counted.unionByName(spark.createDataFrame(
-            [(stem, bytearray(end_key.tobytes()), bytearray(np.array([texts], np.int64).tobytes()))], "stem int, keys binary, n binary"))
+
+    left = -(-stored.select("batch").count() // FAN_IN)
+    asked = stored.select("batch", F.inline("stems"))
+    counted = asked.select("stem", F.pmod(F.xxhash64("batch"), F.lit(max(left, 1))).alias("part"), "keys", F.lit(4).alias("width"), "n")
+    while left > 1:
+        merged = counted.groupBy("stem", "part").applyInPandas(_merged, "stem int, part long, keys binary, width int, n binary")
+        left = -(-left // FAN_IN)
+        counted = room.save(merged.withColumn("part", F.col("part") % left), "merged")
     trees = room.save(counted.groupBy("stem").applyInPandas(
         _subtree, "stem int, latest int, keys binary, n binary, up binary"), "trees")
     zeros, ones, whole = (np.zeros((256, 256)) for _ in range(3))
     for r in trees.select("latest", "up").groupBy("latest").applyInPandas(_latest, "latest int, up binary").toLocalIterator():
         zeros[r["latest"]], ones[r["latest"]], whole[r["latest"]] = np.frombuffer(r["up"], np.float64).reshape(3, 256)
     held = spark.sparkContext.broadcast(Upper(zeros, ones, whole))
-    asked = lists.select("group", "words").mapInPandas(_asked, "stem int, group int, keys binary").unionByName(
-        spark.createDataFrame([(stem, -1, bytearray(end_key.tobytes()))], "stem int, group int, keys binary"))
-    answers = room.save(trees.select("stem", "keys", "n").groupBy("stem").cogroup(asked.groupBy("stem")).applyInPandas(
-        _answers(held), "group int, stem int, logs binary"), "answers")
+    shares = asked.groupBy("stem").agg(F.ceil(F.sum(F.octet_length("keys")) / ANSWER_BYTES).cast("int").alias("shares"))
+    shares = room.save(shares, "shares")
+    questions = asked.select("stem", "batch", "keys").join(shares, "stem").select(
+        "stem", F.pmod(F.xxhash64("batch"), F.col("shares")).cast("int").alias("share"), "batch", "keys")
+    served = trees.select("stem", "keys", "n").join(shares, "stem").select(
+        "stem", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "keys", "n")
+    answers = room.save(served.groupBy("stem", "share").cogroup(questions.groupBy("stem", "share")).applyInPandas(
+        _answers(held), "batch long, stem int, logs binary"), "answers")
     room.keep(stored, lists, answers)
-    end_log = float(np.frombuffer(answers.where("group = -1").select("logs").collect()[0][0], np.float32)[0])
-    union = lists.select("group", F.lit(0).alias("kind"), "words", "seen") \
-        .unionByName(answers.where("group >= 0").select("group", F.lit(1).alias("kind"), "stem", "logs"), allowMissingColumns=True) \
-        .unionByName(requests.select("group", F.lit(2).alias("kind"), "batch", "words"), allowMissingColumns=True)
-    scored = union.groupBy("group").applyInPandas(_word_scores, "batch long, group int, seen binary, logs binary")
+    seen = lists.select("group", "hashes", "seen").groupBy("group").cogroup(requests.select("group", "batch", "words").groupBy("group")) \
+        .applyInPandas(_word_counts, "batch long, group int, seen binary")
+    back = seen.select("batch", "group", "seen", F.lit(None).cast("binary").alias("logs")).unionByName(
+        answers.select("batch", F.col("stem").alias("group"), F.lit(None).cast("binary").alias("seen"), "logs"))
 
-    def sums(key, batch: pd.DataFrame, words_: pd.DataFrame) -> pd.DataFrame:
+    def sums(key, batch: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         row = batch.iloc[0]
-        words_ = words_.sort_values("group")
-        counts = np.frombuffer(b"".join(words_["seen"]), np.int64)
-        logs = np.frombuffer(b"".join(words_["logs"]), np.float32).astype(float)
+        counts, logs = (found[found[c].notna()].sort_values("group")[c] for c in ("seen", "logs"))
+        counts = np.frombuffer(b"".join(counts), np.int64)
+        logs = np.frombuffer(b"".join(logs), np.float32).astype(float)
         lengths = np.frombuffer(row["lengths"], "<i8")
-        tokens = _tokens(row["tokens"], int(lengths.sum()))
+        data = np.frombuffer(pa.decompress(row["data"], decompressed_size=int(row["size"]), codec="zstd", asbytes=True), np.uint8)
         owner = np.repeat(np.arange(len(lengths)), lengths)
+        begins = np.cumsum(lengths) - lengths
+        starts, stops = words(data, SPACES)
+        _, tokens, _ = _own_words(data, starts, stops, groups)
         floor = train_tokens + distinct + 1
+        mine = owner[starts]
 
         def base(c):
             return np.log10((c + 1) / floor)
 
         def add(values):
-            return np.bincount(owner, weights=values[tokens], minlength=len(lengths))
+            return np.bincount(mine, weights=values[tokens], minlength=len(lengths))
 
+        keys, at = np.unique(byte_keys(data, begins, owner), return_inverse=True)
+        scores = np.bincount(owner, weights=logs[at], minlength=len(lengths))
         return pd.DataFrame({
             "doc_id": pd.array(list(row["ids"]), "Int64"), "held_out": np.frombuffer(row["held"], np.uint8).astype(bool),
-            "n_tokens": lengths + 1, "n_known": (add(counts > 0) + (texts > 0)).astype(np.int64), "train_tokens": train_tokens,
-            "base_score": add(base(counts)) + base(texts), "score": add(logs) + end_log})
+            "n_tokens": np.bincount(mine, minlength=len(lengths)) + 1, "n_known": (add(counts > 0) + (texts > 0)).astype(np.int64),
+            "train_tokens": train_tokens, "base_score": add(base(counts)) + base(texts), "score": scores})
 
-    return stored.select("batch", "ids", "held", "lengths", "tokens").groupBy("batch").cogroup(scored.groupBy("batch")).applyInPandas(
+    return stored.select("batch", "ids", "held", "lengths", "size", "data").groupBy("batch").cogroup(back.groupBy("batch")).applyInPandas(
         sums, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
