@@ -241,6 +241,14 @@ Lakshadweep: kavaratti
 Puducherry: pondicherry, karaikal, mahe, yanam
 """
 
+# --- fixed values: sentences of live summaries ---
+LIVE_ACROSS = "According to verified reports across %s, %s."
+LIVE_FURTHER = " Further developments reported that %s."
+LIVE_DOSSIER = "Verified reporting dispatched by %s. Comprehensive background and wire telemetry are documented in the source dossier."
+LIVE_CORROBORATED = "Corroborated across: %s"
+LIVE_REGIONAL = "Reported from regional bureaus across %s by %s."
+LIVE_PLAIN = "Verified news report dispatched by %s. Review the source dossier for complete reporting details."
+
 # --- fixed values: nodes of article pages, (tag, attribute, value), in order of preference ---
 CONTENT_NODES = [
     ("div", "id", "PdfDiv"),

@@ -367,6 +367,23 @@ def composite_score(as_of, priorities, state: str, tab: str, keywords=None) -> C
     )
 
 
+def client_order(cards: DataFrame, as_of, priorities, state: str, tab: str, keywords=None) -> DataFrame:
+    """Cards with place (from 1), match and composite, in the order of a client tab.
+
+    The state tab shows what matches the reader's state first; then the composite score decides, then the newer time, then
+    the id. Places come from ranges of the order.
+    """
+    match = state_match(F.col("state"), F.col("headline"), F.col("summary"), state, keywords) if tab == "state" else F.lit(0)
+    scored = cards.withColumn("match", match).withColumn("composite", composite_score(as_of, priorities, state, tab, keywords))
+    from storyloom.operators.ranks import positions
+    from storyloom.session import Workspace
+
+    newest = F.coalesce("published_at", "created_at")
+    # saved, as dealing into ranges looks at the order before it deals
+    scored = Workspace(cards.sparkSession, "client").save(scored, "scored")
+    return positions(scored, [F.desc("match"), F.desc("composite"), F.desc_nulls_last(newest), F.asc("card_id")], "place")
+
+
 def tab_cards(cards: DataFrame, tab: str, interests=(), state: str = "", backfill: int = 35) -> DataFrame:
     """Cards of a client tab, with its fallbacks.
 

@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import clean_text, let, rx, strip, text_or_empty, token_count, unescape
+from storyloom import constants as K
+from storyloom.functions.text import clean_html_text, clean_text, let, rx, strip, text_or_empty, token_count, unescape
 
 MIN_EXTRA = 15
 
@@ -100,3 +101,54 @@ def article_summary(title, snippet, source, state) -> Column:
             token_count(text).alias("words"))
 
     return let(F.struct(head.alias("h"), clean.alias("c")), build)
+
+
+def live_summary(headline, snippet, source, state, items) -> Column:
+    """Live variant: (summary, key facts, words) of one landed item.
+
+    ``items`` are the (headline, publisher) entries of a coverage list, empty where the snippet is none: then up to two
+    angles other than the headline make the summary. Else the snippet without the headline does, if it says more.
+    """
+    def said(template, *parts):
+        return F.format_string(template, *parts)
+
+    head = strip(F.regexp_replace(text_or_empty(headline), rx(r"\s+-\s+[^-]+$"), ""))
+    plain = clean_html_text(snippet)
+    plain = F.when(F.contains(plain, F.lit(" - ")), strip(F.regexp_replace(plain, rx(r"\s+-\s+[^-]+$"), ""))).otherwise(plain)
+    src = text_or_empty(source)
+    place = F.when(text_or_empty(state) != "", state)
+    values = F.struct(head.alias("h"), plain.alias("c"), F.coalesce(items, F.array().cast("array<struct<headline:string,publisher:string>>")).alias("items"))
+
+    def listed(v):
+        low = F.lower(v["h"])
+        angles = F.filter(v["items"], lambda i: ~F.contains(F.lower(i["headline"]), low) & ~F.contains(low, F.lower(i["headline"])))
+        named = F.filter(F.transform(v["items"], lambda i: i["publisher"]), lambda p: p != "")
+        names = F.array_join(F.slice(F.array_distinct(F.concat(named, F.when(src != "", F.array(src)).otherwise(F.array().cast("array<string>")))), 1, 3), ", ")
+
+        def tell(w):
+            one, two = (F.get(w["angles"], F.lit(i))["headline"] for i in (0, 1))
+            body = F.when(F.size(w["angles"]) == 0, said(K.LIVE_DOSSIER, src)).otherwise(F.concat(
+                said(K.LIVE_ACROSS, w["names"], one), F.when(F.size(w["angles"]) > 1, said(K.LIVE_FURTHER, two)).otherwise("")))
+            facts = F.transform(F.slice(w["angles"], 1, 2), lambda i: F.concat(
+                F.substring(i["headline"], 1, 100), F.when(i["publisher"] != "", F.concat(F.lit(" ("), i["publisher"], F.lit(")"))).otherwise("")))
+            backing = said(K.LIVE_CORROBORATED, F.when(w["names"] != "", w["names"]).otherwise(src))
+            return F.struct(body.alias("summary"), F.slice(F.concat(facts, F.array(backing)), 1, 3).alias("key_facts"))
+
+        return let(F.struct(angles.alias("angles"), names.alias("names")), tell)
+
+    def single(v):
+        begins = F.startswith(F.lower(v["c"]), F.lower(v["h"]))
+        rest = F.regexp_replace(strip(F.substr(v["c"], F.length(v["h"]) + 1)), r"^[.:\-\u2013\u2014,\s]+", "")
+
+        def tell(c):
+            more = (c != "") & (F.lower(c) != F.lower(v["h"]))
+            body = F.when(more & (F.length(c) > 25), c).when(place.isNotNull(), said(K.LIVE_REGIONAL, place, src)).otherwise(said(K.LIVE_PLAIN, src))
+            # a fourth fact is never shown
+            facts = F.array(F.substring(v["h"], 1, 110), F.concat(F.lit("Source: "), src),
+                            F.concat(F.lit("Region: "), F.coalesce(place, F.lit("National / Global"))))
+            return F.struct(body.alias("summary"), facts.alias("key_facts"))
+
+        return let(F.when(begins, strip(rest)).otherwise(v["c"]), tell)
+
+    out = let(values, lambda v: F.when(F.size(v["items"]) > 0, listed(v)).otherwise(single(v)))
+    return let(out, lambda o: F.struct(o["summary"].alias("summary"), o["key_facts"].alias("key_facts"), token_count(o["summary"]).alias("words")))

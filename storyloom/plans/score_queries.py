@@ -424,6 +424,15 @@ def client_rank(spark, folder):
     return _ranked(spark, folder).select("card_id", R.composite_score(V.AS_OF, _PRIOS, "Goa", "state").alias("composite"))
 
 
+@query("client_order", "WITH " + SQ.PUBLIC_SQL + f""",
+m AS (SELECT *, {_COMPOSITE} AS composite, CASE WHEN lower(trim(coalesce(state, ''))) = 'goa' THEN 100
+  WHEN contains(lower(coalesce(headline, '') || ' ' || coalesce(summary, '')), 'goa') THEN 80 ELSE 0 END AS match FROM scored_v)
+SELECT card_id, match, composite, row_number() OVER (ORDER BY match DESC, composite DESC, {_TS} DESC NULLS LAST, card_id) AS place FROM m""")
+def client_order(spark, folder):
+    """The state tab: the reader's state first, then what names it, then the rest, each by score."""
+    return R.client_order(_ranked(spark, folder), V.AS_OF, _PRIOS, "Goa", "state").select("card_id", "match", "composite", "place")
+
+
 _TOK = r"list_filter(regexp_split_to_array(regexp_replace(lower(headline), '[^a-z0-9 ]', '', 'g'), '\s+'), lambda w: length(w) > 3)"
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from storyloom import constants as K
 from storyloom.functions.language import language_profiles, tag_language
+from storyloom.functions.text import collapse
 from storyloom.operators import summaries as Y
 from storyloom.plans import fixtures as V
 from storyloom.plans import sqltext as Q
@@ -222,6 +223,30 @@ def article_summary(spark, folder):
     return V.articles(spark, folder).select("id", out.alias("x")).select("id", "x.summary", F.get("x.key_facts", F.lit(2)).alias("last_fact"))
 
 
+_LIVE = Q.strip(r"regexp_replace(title, '\s+-\s+[^-]+$', '')")
+
+
+@query("live_summary", _BASE + f""",
+t AS (SELECT id, source_id AS src, state, {_LIVE} AS h, {_HEADLINE} AS c0 FROM (SELECT * REPLACE ({Q.collapse('title')} AS title), raw_text AS h FROM articles_v)),
+u AS (SELECT *, CASE WHEN contains(c0, ' - ') THEN {Q.strip("regexp_replace(c0, '" + chr(92) + "s+-" + chr(92) + "s+[^-]+$', '')")} ELSE c0 END AS c1 FROM t),
+v AS (SELECT *, CASE WHEN starts_with(lower(c1), lower(h)) THEN {Q.strip("regexp_replace(" + Q.strip("substring(c1, length(h) + 1)") + ", '^[.:" + chr(92) + "-–—," + chr(92) + "s]+', '')")} ELSE c1 END AS c FROM u)
+SELECT id, CASE WHEN id % 5 = 0 THEN 'According to verified reports across Desk A, ' || src || ', Angle ' || id || '. Further developments reported that Other angle & more.'
+    WHEN id % 5 = 1 THEN 'Verified reporting dispatched by ' || src || '. Comprehensive background and wire telemetry are documented in the source dossier.'
+    WHEN length(c) > 25 AND lower(c) <> lower(h) THEN c
+    WHEN state IS NOT NULL THEN 'Reported from regional bureaus across ' || state || ' by ' || src || '.'
+    ELSE 'Verified news report dispatched by ' || src || '. Review the source dossier for complete reporting details.' END AS summary,
+  CASE WHEN id % 5 = 0 THEN 'Angle ' || id || ' (Desk A) | Other angle & more | Corroborated across: Desk A, ' || src
+    WHEN id % 5 = 1 THEN 'Corroborated across: ' || src
+    ELSE substring(h, 1, 110) || ' | Source: ' || src || ' | Region: ' || coalesce(state, 'National / Global') END AS facts FROM v""")
+def live_summary(spark, folder):
+    """Live summaries; a fifth of the snippets are coverage lists, another fifth lists that say nothing new."""
+    item = lambda head, pub="": F.concat(F.lit('<li><a href="x">'), head, F.lit("</a>"), F.lit(f"&nbsp;<font>{pub}</font>" if pub else ""), F.lit("</li>"))
+    markup = F.when(F.col("id") % 5 == 0, F.concat(item(F.col("title")), item(F.concat(F.lit("Angle "), F.col("id").cast("string")), "Desk A"),
+                                                   item(F.lit("Other angle &amp; more")))).when(F.col("id") % 5 == 1, item(F.col("title")))
+    out = Y.live_summary(F.col("title"), F.col("raw_text"), F.col("source_id"), F.col("state"), N.coverage_items(markup))
+    return V.articles(spark, folder).withColumn("title", collapse("title")).select("id", out.alias("x")).select("id", "x.summary", F.array_join("x.key_facts", " | ").alias("facts"))
+
+
 @query("tag_language", rf"""
 WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents),
 c AS (SELECT lang, word, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2),

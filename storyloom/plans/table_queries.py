@@ -318,25 +318,21 @@ def compare_feeds(spark, folder):
 
 
 @query("union_articles", "WITH " + V.ARTICLES_SQL + """
-SELECT 'docs' AS provider, count(*) AS n, count(url) AS urls FROM articles_v UNION ALL SELECT 'pages', count(*), count(url) FROM pages
-UNION ALL SELECT 'talks', count(*), 0 FROM conversations""")
+SELECT 'docs' AS provider, url, title FROM articles_v UNION ALL SELECT 'pages', url, NULL FROM pages UNION ALL SELECT 'talks', NULL, text FROM conversations""")
 def union_articles(spark, folder):
     docs = V.articles(spark, folder).select(F.lit("docs").alias("provider"), "url", "title")
     pages = V.table(spark, folder, "pages").select(F.lit("pages").alias("provider"), "url")
     talks = V.table(spark, folder, "conversations").select(F.lit("talks").alias("provider"), F.col("text").alias("title"))
-    return J.union_articles(docs, pages, talks).groupBy("provider").agg(
-        F.count(F.lit(1)).alias("n"), F.count("url").alias("urls"))
+    return J.union_articles(docs, pages, talks).select("provider", "url", "title")
 
 
 @query("set_overlap", """
-SELECT 'both' AS part, count(*) AS n FROM (SELECT l_partkey FROM lineitem INTERSECT SELECT p_partkey FROM part WHERE p_size <= 25)
-UNION ALL SELECT 'only_left', count(*) FROM (SELECT l_partkey FROM lineitem EXCEPT ALL SELECT p_partkey FROM part WHERE p_size <= 25)""")
+SELECT 'both' AS part, * FROM (SELECT l_partkey FROM lineitem INTERSECT SELECT p_partkey FROM part WHERE p_size <= 25)
+UNION ALL SELECT 'only_left', * FROM (SELECT l_partkey FROM lineitem EXCEPT ALL SELECT p_partkey FROM part WHERE p_size <= 25)""")
 def set_overlap(spark, folder):
     a = V.table(spark, folder, "lineitem").select("l_partkey")
     b = V.table(spark, folder, "part").filter("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"))
-    n = F.count(F.lit(1)).alias("n")
-    return A.overlap(a, b).agg(n).select(F.lit("both").alias("part"), "n").union(
-        A.difference(a, b).agg(n).select(F.lit("only_left").alias("part"), "n"))
+    return A.overlap(a, b).withColumn("part", F.lit("both")).unionByName(A.difference(a, b).withColumn("part", F.lit("only_left")))
 
 
 # --- state, sinks, migration ------------------------------------------------------------------

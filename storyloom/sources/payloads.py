@@ -163,6 +163,14 @@ def extract_meta(pages: DataFrame, html="html", keep=()) -> DataFrame:
 _LIST_ITEM = r"(?is)<li[^>]*>\s*<a[^>]*>(.*?)</a>(?:(?:&nbsp;|\s)*<font[^>]*>(.*?)</font>)?"
 
 
+def coverage_items(html) -> Column:
+    """Array of (headline, publisher) of the linked items of a list, in order; those without a headline are left out."""
+    heads = F.regexp_extract_all(html, F.lit(_LIST_ITEM), F.lit(1))
+    pubs = F.regexp_extract_all(html, F.lit(_LIST_ITEM), F.lit(2))
+    pairs = F.zip_with(heads, pubs, lambda h, p: F.struct(clean_html_text(h).alias("headline"), clean_html_text(p).alias("publisher")))
+    return F.filter(F.coalesce(pairs, F.array().cast("array<struct<headline:string,publisher:string>>")), lambda i: i["headline"] != "")
+
+
 def explode_coverage(df: DataFrame, html="html", keep=()) -> DataFrame:
     """(headline, publisher) rows of a list of linked items."""
     heads = F.regexp_extract_all(html, F.lit(_LIST_ITEM), F.lit(1))
