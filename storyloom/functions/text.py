@@ -48,26 +48,43 @@ def _references() -> dict[str, str]:
 
 
 _REFERENCES = json.dumps(_references())
+#: The names that count without their semicolon, the longest first, as the longest one that fits is meant.
+_OPEN = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n)))
 
 
 def unescape(c) -> Column:
-    """Decode character references, each once: decimal, hexadecimal and all standard names, closed by a semicolon.
+    """Decode character references, each once: decimal, hexadecimal and all standard names.
 
-    A number that is no character gives the replacement character; an unknown name stays as it is.
+    Numbers and the standard's older names count without their semicolon too (``&copy 2024``), the longest name that fits. A
+    number that is no character gives the replacement character; an unknown name stays as it is.
     """
     out = _col(c)
     known = F.from_json(F.lit(_REFERENCES), "map<string,string>")
 
     def decode(part):
-        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
-        is_hex, number = F.lower(F.substring(name, 1, 2)) == "#x", F.startswith(name, F.lit("#"))
-        code = F.when(is_hex, F.conv(F.substring(name, 3, 8), 16, 10)).when(number, F.substring(name, 2, 8)).cast("int")
-        real = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        plain = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(chr(0xFFFD))
-        key = F.when(number, F.concat(F.lit("#"), code.cast("string"))).otherwise(name)
-        char = F.coalesce(F.try_element_at(known, key), F.when(number, plain))
-        rest = F.substr(part, F.length(name) + 2)
-        return F.when((name != "") & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
+        def number(name):
+            is_hex = F.lower(F.substring(name, 1, 2)) == "#x"
+            code = F.when(is_hex, F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("int")
+
+            def char(n):
+                real = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+                plain = F.when(real, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(chr(0xFFFD))
+                return F.coalesce(F.try_element_at(known, F.concat(F.lit("#"), n.cast("string"))), plain)
+
+            return let(code, char)
+
+        def spelled(written):
+            """The written reference and its character, or the ampersand and nothing."""
+            name = F.rtrim(written, F.lit(";"))
+            char = F.when(F.startswith(written, F.lit("#")), number(name)).when(written != "", F.try_element_at(known, name))
+            return F.concat(F.coalesce(char, F.lit("&")), F.substr(part, F.when(char.isNull(), 0).otherwise(F.length(written)) + 1))
+
+        def closed_or_open(closed):
+            whole = (closed != "") & (F.startswith(closed, F.lit("#")) | F.try_element_at(known, F.rtrim(closed, F.lit(";"))).isNotNull())
+            return let(F.when(whole, closed).otherwise(F.regexp_extract(part, rf"^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|{_OPEN})", 1)), spelled)
+
+        found = F.regexp_extract(part, r"^((?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)", 1)
+        return F.when(part.rlike("^[A-Za-z#]"), let(found, closed_or_open)).otherwise(F.concat(F.lit("&"), part))
 
     parts = F.split(out, "&")
     whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decode), ""))

@@ -1,5 +1,7 @@
 """Literal text, URL and date cases."""
 
+import html
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ def test_parse_ts(spark, raw, seconds):
 
 def test_unescape(spark):
     assert value(spark, text.unescape(F.lit("a &amp;lt; &#8217;b&#39; &eacute;"))) == "a &lt; ’b' é"
+    for raw in ("&copy 2024", "&notit; &notin; &not", "&#65 &#x41g", "AT&T R&D &;", "&ltd &eacutee &hellip", "&amp;amp; &ampx"):
+        assert value(spark, text.unescape(F.lit(raw))) == html.unescape(raw)
 
 
 def test_publishers(spark):
