@@ -11,7 +11,8 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 CHECKED = ["normalize_url", "keywords", "importance", "trust_scores", "user_feeds", "repair_source", "detect_states",
            "prefilter_audit", "parse_feeds", "apply_changes", "chronology", "brief", "order_feed", "order_violations", "feed_legacy",
-           "merge_master", "upsert_cards", "insert_new", "saved_cards", "evaluate_clusters"]
+           "merge_master", "upsert_cards", "insert_new", "saved_cards", "evaluate_clusters", "similar_embeddings", "feed_snapshot",
+           "insert_counts", "article_files", "live_summary", "client_order"]
 
 
 @pytest.fixture(scope="module")
