@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,8 @@ BITS = 20
 SAMPLE = 40_000
 #: Parts of the sample that are learnt side by side, and rounds after which their states are averaged.
 SHARDS, ROUNDS = 6, 4
+#: Files that the sample is bucketed to; the parts fall into different ones.
+BUCKETS = 17
 #: Slices of the coordinates, each averaged by a task of its own.
 SLICES = 16
 #: Rates and penalties: per-coordinate step alpha, beta; lambda1, lambda2.
@@ -110,13 +113,17 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bits: int =
     """Model from docs (doc_id, text) and labels (doc_id, column), see ``marked``.
 
     Presence of a feature counts, not how often it occurs, so long texts are not favoured. The sample is dealt over
-    ``SHARDS`` parts by a hash of the id; each part goes on from the averaged state of all parts, ``ROUNDS`` times. States
-    are averaged in tasks, slice by slice; the driver sees one state of fixed size. Without rows to learn from every score is 0.5.
+    ``SHARDS`` parts by a hash of the id, once, as a table bucketed by part: rounds read it and shuffle no texts. Each part
+    goes on from the averaged state of all parts, ``ROUNDS`` times, and sends what it changed of it. States are averaged in
+    tasks, slice by slice; the driver sees one state of fixed size. Without rows to learn from every score is 0.5.
     """
     spark = docs.sparkSession
     room = Workspace(spark, "toxicity")
-    rows = room.save(
-        marked(docs, labels, column, sample).withColumn("part", F.pmod("key", F.lit(SHARDS)).cast("int")), "sample")
+    name, path = f"toxicity_{uuid.uuid4().hex}", f"{room.root}/sample"
+    marked(docs, labels, column, sample).withColumn("part", F.pmod("key", F.lit(SHARDS)).cast("int")).repartition(BUCKETS, "part") \
+        .write.bucketBy(BUCKETS, "part").option("path", path).option("compression", "zstd").saveAsTable(name)
+    rows = spark.table(name)
+    room.saved.append((rows, path))
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for turn in range(ROUNDS):
         held = spark.sparkContext.broadcast((z, n))
@@ -132,24 +139,30 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bits: int =
                 found = (both & ((1 << bits) - 1)).astype(np.int32)
                 own += [(found[a:b], y) for a, b, y in zip(ends[:-1], ends[1:], block.column("label"))]
             _pass(own, z, n, np.random.default_rng(turn).permutation(len(own)))
-            slots = np.array_split(np.arange(len(z)), SLICES)
-            return pd.DataFrame({"slice": range(SLICES), "rows": len(own), "z": [z[s].astype(np.float32).tobytes() for s in slots],
-                                 "n": [n[s].astype(np.float32).tobytes() for s in slots]})
+            changed = [s[(z[s] != held.value[0][s]) | (n[s] != held.value[1][s])] for s in np.array_split(np.arange(len(z)), SLICES)]
+            return pd.DataFrame({"slice": range(SLICES), "rows": len(own), "at": [s.astype(np.int32).tobytes() for s in changed],
+                                 "z": [z[s].astype(np.float32).tobytes() for s in changed], "n": [n[s].astype(np.float32).tobytes() for s in changed]})
 
         def average(key, frame):
             frame = frame.sort_values(["rows", "z"], kind="stable")
-            z, n = (sum(r * np.frombuffer(x, np.float32).astype(float) for r, x in zip(frame["rows"], frame[c])) / max(frame["rows"].sum(), 1)
-                    for c in ("z", "n"))
-            return pd.DataFrame({"slice": [key[0]], "rows": [1], "z": [z.tobytes()], "n": [n.tobytes()]})
-
-        state = "slice long, rows long, z binary, n binary"
+            slot = np.array_split(np.arange(len(held.value[0])), SLICES)[key[0]]
+            out = []
+            for column, before in zip(("z", "n"), held.value):
+                mean, total = before[slot].copy(), max(frame["rows"].sum(), 1)
+                for r, at, x in zip(frame["rows"], frame["at"], frame[column]):
+                    at = np.frombuffer(at, np.int32)
+                    mean[at - slot[0]] += r / total * (np.frombuffer(x, np.float32) - before[at])
+                out.append(mean.tobytes())
+            return pd.DataFrame({"slice": [key[0]], "rows": [1], "at": [b""], "z": [out[0]], "n": [out[1]]})
+
+        state = "slice long, rows long, at binary, z binary, n binary"
         merged = rows.groupBy("part").applyInPandas(learn, state).groupBy("slice").applyInPandas(average, state)
-        z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         ends = np.cumsum([0, *map(len, np.array_split(np.arange(len(z)), SLICES))])
         for r in merged.select("slice", "z", "n").toLocalIterator():
             z[ends[r["slice"]]:ends[r["slice"] + 1]] = np.frombuffer(r["z"], np.float64)
             n[ends[r["slice"]]:ends[r["slice"] + 1]] = np.frombuffer(r["n"], np.float64)
         held.unpersist()
+    spark.sql(f"DROP TABLE {name}")
     room.keep()
     w = _weights(z[:-1], n[:-1])
     at = np.flatnonzero(w)
