@@ -6,6 +6,7 @@ block limit or by the longest single text, whichever is larger.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +73,15 @@ class Block:
         return self.rows.column(name).to_numpy(zero_copy_only=False)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its task, and keeps what it once held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[Block]:
     for batch in batches:
         texts = [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
@@ -83,6 +93,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             total += len(text)
         if texts:
             yield Block(batch.slice(start), texts[start:])
+    release()
 
 
 def per_row(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
