@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from storyloom.session import Workspace
 
 from .tables import fold, parts
-from .textblocks import SPACES, Block, Hasher, blocks, per_row, words
+from .textblocks import SPACES, Block, Hasher, blocks, per_row, release, words
 
 #: Bytes of context; what stands before a text, and its end.
-DEPTH, START, END = 6, 10, 10
+DEPTH, START, END = 5, 10, 10
 #: Text of a batch, whose distinct words and contexts are counted and looked up together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 #: Batches whose counts one task adds up; bytes of questions that one task answers.
 FAN_IN, ANSWER_BYTES = 32, 32 << 20
+#: Bytes of texts that are scored at a time.
+PIECE = 1 << 20
 
 _BITS = 8
 _LOG2 = np.log(2.0)
@@ -50,18 +52,21 @@ def stream(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     last = np.cumsum(counts)
     close = np.where(counts > 0, ends[np.maximum(last - 1, 0)] if len(ends) else 0, block.offsets[1:] - 1)
     data[close], keep[close] = END, True
-    owner = np.repeat(np.arange(len(block)), np.diff(block.offsets))[keep]
+    owner = np.repeat(np.arange(len(block), dtype=np.int32), np.diff(block.offsets))[keep]
     return data[keep], np.searchsorted(owner, np.arange(len(block))), owner, starts, ends
 
 
 def byte_keys(data: np.ndarray, begins: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each byte its context, latest byte first, and the byte, in one number. Contexts reach across words to the start
     of the text and are filled with START beyond it."""
-    begin, at = begins[owner], np.arange(len(data))
+    away = np.minimum(np.arange(len(data), dtype=np.int32) - begins.astype(np.int32)[owner], DEPTH).astype(np.uint8)
     keys = data.astype(np.uint64)
     for d in range(1, DEPTH + 1):
-        earlier = np.where(at - d >= begin, data[np.maximum(at - d, 0)], START).astype(np.uint64)
-        keys |= earlier << np.uint64(8 * (DEPTH + 1 - d))
+        earlier = np.full(len(data), START, np.uint64)
+        earlier[d:] = data[:-d]
+        earlier[away < d] = START
+        earlier <<= np.uint64(8 * (DEPTH + 1 - d))
+        keys |= earlier
     return keys
 
 
@@ -183,8 +188,11 @@ def _batched(docs: DataFrame, groups: int, folds: int, apart: int) -> DataFrame:
             names = [text[starts[i]:ends[i]] for i in first]
             blobs = [b"".join(x + b" " for x in names[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
             numbers = [seen[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            keys, at = np.unique(byte_keys(data, begins, owner), return_inverse=True)
-            often = np.bincount(at[~held[owner]], minlength=len(keys))
+            every = byte_keys(data, begins, owner)
+            some, n = np.unique(every[~held[owner]], return_counts=True)
+            keys = np.unique(every)
+            often = np.zeros(len(keys), np.int64)
+            often[np.searchsorted(keys, some)] = n
             stems = [{"stem": s, "keys": _pack(k), "n": pa.compress(c["n"].astype("<i4").tobytes(), codec="zstd", asbytes=True)}
                      for s, k, c in _by_stem(keys, n=often)]
             yield pa.RecordBatch.from_pydict({
@@ -343,9 +351,8 @@ def score(docs: DataFrame, folds: int = 7, apart: int = 2) -> DataFrame:
         "stem", F.pmod(F.xxhash64("batch"), F.col("shares")).cast("int").alias("share"), "batch", "keys")
     served = trees.select("stem", "keys", "n").join(shares, "stem").select(
         "stem", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "keys", "n")
-    answers = room.save(served.groupBy("stem", "share").cogroup(questions.groupBy("stem", "share")).applyInPandas(
-        _answers(held), "batch long, stem int, logs binary"), "answers")
-    room.keep(stored, lists, answers)
+    answers = served.groupBy("stem", "share").cogroup(questions.groupBy("stem", "share")).applyInPandas(
+        _answers(held), "batch long, stem int, logs binary")
     seen = lists.select("group", "hashes", "seen").groupBy("group").cogroup(requests.select("group", "batch", "words").groupBy("group")) \
         .applyInPandas(_word_counts, "batch long, group int, seen binary")
     back = seen.select("batch", "group", "seen", F.lit(None).cast("binary").alias("logs")).unionByName(
@@ -355,10 +362,10 @@ def score(docs: DataFrame, folds: int = 7, apart: int = 2) -> DataFrame:
         row = batch.iloc[0]
         counts, logs = (found[found[c].notna()].sort_values("group")[c] for c in ("seen", "logs"))
         counts = np.frombuffer(b"".join(counts), np.int64)
-        logs = np.frombuffer(b"".join(logs), np.float32).astype(float)
+        logs = np.frombuffer(b"".join(logs), np.float32)
         lengths = np.frombuffer(row["lengths"], "<i8")
         data = np.frombuffer(pa.decompress(row["data"], decompressed_size=int(row["size"]), codec="zstd", asbytes=True), np.uint8)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         begins = np.cumsum(lengths) - lengths
         starts, stops = words(data, SPACES)
         _, tokens, _ = _own_words(data, starts, stops, groups)
@@ -371,8 +378,12 @@ def score(docs: DataFrame, folds: int = 7, apart: int = 2) -> DataFrame:
         def add(values):
             return np.bincount(mine, weights=values[tokens], minlength=len(lengths))
 
-        keys, at = np.unique(byte_keys(data, begins, owner), return_inverse=True)
-        scores = np.bincount(owner, weights=logs[at], minlength=len(lengths))
+        every = byte_keys(data, begins, owner)
+        keys, scores = np.unique(every), np.zeros(len(lengths))
+        for a in range(0, len(every), PIECE):
+            some = logs[np.searchsorted(keys, every[a : a + PIECE])]
+            scores += np.bincount(owner[a : a + PIECE], weights=some, minlength=len(lengths))
+        release()
         return pd.DataFrame({
             "doc_id": pd.array(list(row["ids"]), "Int64"), "held_out": np.frombuffer(row["held"], np.uint8).astype(bool),
             "n_tokens": np.bincount(mine, minlength=len(lengths)) + 1, "n_known": (add(counts > 0) + (texts > 0)).astype(np.int64),
