@@ -86,22 +86,25 @@ def character_references(spark, folder):
     return rows.select("doc_id", text.unescape("t").alias("body"))
 
 
-@query("clean_text", f"SELECT page_id, {Q.clean_text('html')} AS body FROM pages")
+_TAGLESS = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+
+
+@query("clean_text", f"WITH {Q.REFERENCES} SELECT page_id, "
+       + Q.collapse(Q.replace_all(Q.decode("coalesce(" + _TAGLESS + ", '')"), text.CRAWL_PUNCTUATION)) + " AS body FROM pages, refs")
 def clean_text(spark, folder):
     return _pages(spark, folder).select("page_id", text.clean_text("html").alias("body"))
 
 
 _LIVE = Q.collapse(Q.replace_all(
-    "replace(regexp_replace(" + Q.unescape("html") + ", '<[^>]+>', ' ', 'g'), '&nbsp;', ' ')", text.LIVE_PUNCTUATION))
+    "replace(regexp_replace(" + Q.decode("html") + ", '<[^>]+>', ' ', 'g'), '&nbsp;', ' ')", text.LIVE_PUNCTUATION))
 
 
-@query("clean_html_text", f"SELECT page_id, {_LIVE} AS body FROM pages")
+@query("clean_html_text", f"WITH {Q.REFERENCES} SELECT page_id, {_LIVE} AS body FROM pages, refs")
 def clean_html_text(spark, folder):
     return _pages(spark, folder).select("page_id", text.clean_html_text("html").alias("body"))
 
 
-@query("clean_chat_text", "SELECT page_id, "
-       + Q.collapse(Q.unescape("regexp_replace(html, '<[^>]+>', ' ', 'g')")) + " AS body FROM pages")
+@query("clean_chat_text", f"WITH {Q.REFERENCES} SELECT page_id, " + Q.collapse(Q.decode(_TAGLESS)) + " AS body FROM pages, refs")
 def clean_chat_text(spark, folder):
     return _pages(spark, folder).select("page_id", text.clean_chat_text("html").alias("body"))
 
