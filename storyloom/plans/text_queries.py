@@ -268,6 +268,8 @@ def first_words(spark, folder):
 
 
 _H = "headline"
+# letters whose capital form is several letters (ß, SS), where the other engine's upper gives one
+_LONG_CAPITALS = ", ".join(f"{Q.lit(c)}: {Q.lit(c.upper())}" for c in map(chr, range(128, 0x10000)) if len(c.upper()) > 1)
 _PUB = K.SUMMARY_PUBLISHERS
 
 
@@ -286,7 +288,7 @@ d AS (SELECT id, o, {Q.sentences('o')} AS p FROM c),
 e AS (SELECT id, CASE WHEN len(p) >= 2 AND {Q.bare('p[1]')} <> '' AND {Q.bare('p[1]')} = {Q.bare('p[2]')}
   THEN {Q.strip("array_to_string(p[2:], ' ')")} ELSE o END AS o FROM d)
 SELECT id, CASE WHEN length(o) < 15 THEN {Q.lit(K.SHORT_SUMMARY_TEXT)}
-  ELSE upper(substring(o, 1, 1)) || substring(o, 2) END AS summary FROM e""")
+  ELSE coalesce(MAP {{{_LONG_CAPITALS}}}[substring(o, 1, 1)], upper(substring(o, 1, 1))) || substring(o, 2) END AS summary FROM e""")
 def clean_summary(spark, folder):
     s = (F.when(F.col("id") % 4 == 0, F.concat("title", F.lit(" - "), "raw_text"))
          .when(F.col("id") % 4 == 1, F.concat(F.lit("Reuters: "), "raw_text"))
