@@ -92,18 +92,18 @@ WITH e AS ({_EVENT_SCORES} FROM events),
 c AS (SELECT event_id, least(100, greatest(0, importance)) AS i, least(100, greatest(0, urgency)) AS u,
   least(100, greatest(0, freshness)) AS f, least(100, greatest(0, rel)) AS r, least(100, greatest(0, trust)) AS v FROM e),
 x AS (SELECT *, CASE WHEN u >= 90 AND f >= 25 THEN greatest(i, 75.0) ELSE i END AS imp FROM c)
-SELECT event_id, imp AS effective_importance, round(least(100, greatest(0,
+SELECT event_id, imp AS effective_importance, CAST(round(CAST(least(100, greatest(0,
   imp * (CASE WHEN f < 10 THEN 0.40 WHEN f < 25 THEN 0.75 ELSE 1 END) * 0.40
-  + (CASE WHEN f < 10 THEN least(u, 25.0) WHEN f < 25 THEN least(u, 45.0) ELSE u END) * 0.20 + f * 0.15 + r * 0.15 + v * 0.10)), 1)
+  + (CASE WHEN f < 10 THEN least(u, 25.0) WHEN f < 25 THEN least(u, 45.0) ELSE u END) * 0.20 + f * 0.15 + r * 0.15 + v * 0.10)) AS DECIMAL(18, 10)), 1) AS DOUBLE)
   AS final_score FROM x""")
 def final_score(spark, folder):
     e = V.table(spark, folder, "events")
     v, n = F.col("value"), (F.col("event_id") % 30).cast("double")
     total = S.decayed_base(v, v * 2, n, v) + S._clamp(v / 2) * K.WEIGHT_RELEVANCE
-    # one decimal: the two engines add in different orders
+    # a first rounding at ten places, as in scoring.final_score, removes the order-of-addition noise
     return e.select(
         "event_id", S.effective_importance(v, v * 2, n).alias("effective_importance"),
-        F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 1).alias("final_score"))
+        F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 10), 1).alias("final_score"))
 
 
 _REASON = """CASE WHEN len(cl) > 0 THEN array_to_string(cl, ', ') || '.' WHEN importance < 35 THEN
