@@ -189,13 +189,24 @@ def syllable_count(c) -> Column:
 
 
 def fk_grade(c) -> Column:
-    """Flesch-Kincaid grade from the published formula and vowel-group syllables."""
+    """Flesch-Kincaid grade from the published formula and vowel-group syllables, to one decimal.
+
+    It is computed in whole numbers, so that a grade just between two decimals is rounded away from zero and 0 has no sign.
+    """
     words = F.size(
         F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(r"[\p{L}']+"), F.lit(0))
-    ).cast("double")
-    sentences = F.greatest(sentence_count(c), F.lit(1)).cast("double")
-    grade = 0.39 * (words / sentences) + 11.8 * (syllable_count(c) / words) - 15.59
-    return F.when(words > 0, F.round(grade, 1)).otherwise(F.lit(0.0))
+    ).cast("bigint")
+    counts = F.struct(words.alias("w"), F.greatest(sentence_count(c), F.lit(1)).alias("s"), syllable_count(c).alias("y"))
+
+    def grade(n):
+        # 10 * (0.39 * w / s + 11.8 * y / w - 15.59) as a fraction
+        above = 39 * n["w"] * n["w"] + 1180 * n["y"] * n["s"] - 1559 * n["s"] * n["w"]
+        below = 20 * n["s"] * F.greatest(n["w"], F.lit(1))
+        twice = 2 * F.abs(above) + 10 * n["s"] * n["w"]
+        tenths = (twice - twice % below) / below
+        return F.when(n["w"] > 0, F.when(above < 0, F.lit(0.0) - tenths).otherwise(tenths) / 10).otherwise(F.lit(0.0))
+
+    return let(counts, grade)
 
 
 def letter_tokens(c) -> Column:
