@@ -75,6 +75,8 @@ def gazetteer_rows(spark, entries: dict[str, list[str]] | None = None) -> DataFr
 _BEFORE, _AFTER = ",.-:'\"([{", ",.-:'\")!]}"
 _BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BETWEEN = _BLANK + r",.\-:'\"(\[{)!\]}"
+# Keywords up to which a gazetteer goes to where the texts are; a larger one is joined by Spark's choice.
+_SMALL_GAZETTEER = 20_000
 
 
 def detect_states(df: DataFrame, gazetteer: DataFrame, key: str, text) -> DataFrame:
@@ -82,9 +84,19 @@ def detect_states(df: DataFrame, gazetteer: DataFrame, key: str, text) -> DataFr
 
     A text is cut into words between delimiters. Of every place, the runs of up to as many words as the longest keyword
     has, single-spaced and rightly delimited on both sides, meet the gazetteer in one equi-join; what leaves a text is a
-    key and a run, never the text. A null text has no state.
+    key and a run, never the text. A gazetteer is counted first: to a small one no run is shuffled, and only runs that begin as
+    one of its keywords of that length are made at all. A null text has no state.
     """
-    most = gazetteer.agg(F.max(F.size(F.split("keyword", " ")))).collect()[0][0] or 1
+    names = gazetteer.filter("keyword is not null").groupBy(F.lower("keyword").alias("keyword")).agg(
+        F.min_by("state", "ord").alias("found"), F.min("ord").alias("ord"))
+    begins = names.select(F.size(F.split("keyword", " ")).alias("n"), F.split_part("keyword", F.lit(" "), F.lit(1)).alias("word"))
+    count, most = begins.agg(F.count(F.lit(1)), F.max("n")).collect()[0]
+    small, most = count <= _SMALL_GAZETTEER, most or 1
+    first = {n: [] for n in range(1, most + 1)}
+    if small:
+        names = F.broadcast(names)
+        for row in begins.distinct().collect():
+            first[row.n].append(row.word)
     low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     cut = rf"([^{_BETWEEN}]+)([{_BETWEEN}]+)"
     parts = df.select(
@@ -101,11 +113,11 @@ def detect_states(df: DataFrame, gazetteer: DataFrame, key: str, text) -> DataFr
             blank_or(F.substring(F.get("_gaps", i), -1, 1), _BEFORE) & blank_or(F.substring(F.get("_gaps", i + n), 1, 1), _AFTER)
             & (F.slice("_gaps", i + 2, F.lit(n - 1)) == inner))
         starts = F.when(F.size("_words") >= n, F.sequence(F.lit(0), F.size("_words") - n)).otherwise(F.array().cast("array<int>"))
+        if small:
+            starts = F.filter(starts, lambda i: F.get("_words", i).isin(first[n]))
         return F.transform(F.filter(starts, fits), lambda i: F.array_join(F.slice("_words", i + 1, F.lit(n)), " "))
 
     found = parts.select(key, F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, most + 1)])))).alias("keyword"))
-    names = gazetteer.groupBy(F.lower("keyword").alias("keyword")).agg(
-        F.min_by("state", "ord").alias("found"), F.min("ord").alias("ord"))
     return found.join(names, "keyword").groupBy(key).agg(F.min_by("found", "ord").alias("detected_state"))
 
 
