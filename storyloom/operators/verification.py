@@ -38,9 +38,9 @@ def source_facts(citations: DataFrame, key: str = "cluster_id") -> DataFrame:
     )
 
 
-def independent_counts(citations: DataFrame) -> DataFrame:
-    """Number of independent source groups per cluster."""
-    groups = source_groups(citations)
+def independent_counts(citations: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Number of independent source groups per cluster; ``texts`` as in ``source_groups``."""
+    groups = source_groups(citations, texts=texts)
     return groups.groupBy("cluster_id").agg(F.count_distinct("group_ord").alias("independent_groups"))
 
 
@@ -86,12 +86,13 @@ def conflict_notes(articles: DataFrame, key: str = "cluster_id", threshold: floa
     )
 
 
-def evaluate_clusters(citations: DataFrame, articles: DataFrame, scopes: DataFrame) -> DataFrame:
+def evaluate_clusters(citations: DataFrame, articles: DataFrame, scopes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Eligibility, conflict flag and verification type per cluster.
 
-    ``scopes`` gives cluster_id and scope (the category of the lead article).
+    ``scopes`` gives cluster_id and scope (the category of the lead article);
+    ``texts`` is as in ``source_groups``.
     """
-    facts = source_facts(citations).join(independent_counts(citations), "cluster_id", "left")
+    facts = source_facts(citations).join(independent_counts(citations, texts), "cluster_id", "left")
     notes = conflict_notes(articles)
     joined = facts.join(scopes, "cluster_id", "left").join(notes, "cluster_id", "left")
     flagged = F.col("conflict_notes").isNotNull()
@@ -105,13 +106,13 @@ def evaluate_clusters(citations: DataFrame, articles: DataFrame, scopes: DataFra
     )
 
 
-def source_pairs(citations: DataFrame, key: str = "cluster_id") -> DataFrame:
+def source_pairs(citations: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Dependence of each citation on the first one of its publisher group.
 
     Pairs inside a cluster are never listed: each citation is paired with its
     group leader.
     """
-    return source_groups(citations).filter("ord <> group_ord")
+    return source_groups(citations, texts=texts).filter("ord <> group_ord")
 
 
 def corroboration(citations: DataFrame, key: str = "card_id") -> DataFrame:
