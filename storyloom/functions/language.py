@@ -33,10 +33,11 @@ def tag_language(df: DataFrame, profiles: DataFrame, key: str, text: Column, lan
 
     The profile table is bounded (languages x PROFILE_WORDS rows).
     """
+    # words meet the profiles where their text is, so only a row for each text and language is shuffled
     votes = (
-        df.select(key, F.explode(words(text)).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-        .join(profiles.withColumnRenamed(lang, "_lang"), "word")
-        .groupBy(key, "_lang").agg(F.round(F.sum(F.col("n") * F.col("weight")), 6).alias("score"))
+        df.select(key, F.explode(words(text)).alias("word"))
+        .join(F.broadcast(profiles.withColumnRenamed(lang, "_lang")), "word")
+        .groupBy(key, "_lang").agg(F.round(F.sum("weight"), 6).alias("score"))
     )
     best = votes.groupBy(key).agg(
         F.min_by("_lang", F.struct(-F.col("score"), F.col("_lang"))).alias("_best"),
