@@ -1,16 +1,20 @@
 """Exact threshold join of vectors by cosine.
 
 Vectors with equal components are one class.  Unit vectors are dealt into cells by the nearest of a few pivots and, in each
-cell, by their angle to it, into blocks of a fixed size.  Angles obey the triangle inequality, so two blocks whose angles to
-some pivot lie further apart than the threshold allows never meet.  Blocks that do meet are multiplied over the dimensions
-that vary most; Cauchy-Schwarz bounds what the others can add, and only pairs that may still reach the threshold are
-computed whole.  What leaves a block pair are matches and a count, never its pairs.
+cell, by their angle to it, into blocks of a fixed size, each one row.  Angles obey the triangle inequality, so two blocks whose
+angles to some pivot lie further apart than the threshold allows never meet.  Blocks travel in shelves, so that a vector is sent
+once to each shelf that it meets and not to each block.  Blocks that meet are multiplied in single precision, whose error has a
+bound; pairs that may reach the threshold are computed again in double.  What leaves a block pair are matches and a count,
+never its pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +22,11 @@ from storyloom.operators.ranks import positions
 from storyloom.session import Workspace
 
 PIVOTS, BLOCK = 32, 1024
+#: Blocks of a shelf at most; matches that a task holds before it passes them on.
+SHELF, HELD = 32, 1 << 20
 
 _PLACED = "id long, unit array<double>, cell int, own double, angles array<double>"
+_BLOCKS = "block long, ids binary, units binary, cells array<struct<cell: int, low: array<double>, high: array<double>>>"
 _FOUND = "a_block long, b_block long, formed long, hits array<struct<a: long, b: long, similarity: double>>"
 
 
@@ -53,24 +60,74 @@ def _place(pivots: np.ndarray):
     return run
 
 
-def _multiply(threshold: float, order: np.ndarray, head: int):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame[frame["left"]], frame[~frame["left"]]
-        x, y = (np.array(f["unit"].tolist())[:, order] for f in (a, b))
-        rest = np.sqrt(np.outer((x[:, head:] ** 2).sum(1), (y[:, head:] ** 2).sum(1)))
-        may = x[:, :head] @ y[:, :head].T + rest >= threshold - 1e-9
-        ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-        if key[0] == key[1]:
-            may &= ia[:, None] < ib[None, :]
-        i, j = np.nonzero(may)
+def _packed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """One row for a block: its ids and vectors as bytes, and the least and greatest angles of its rows in each cell."""
+    def matrix(name):
+        return rows.column(name).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+
+    cell, angles = rows.column("cell").to_numpy(), matrix("angles")
+    cells = [{"cell": int(c), "low": angles[cell == c].min(0).tolist(), "high": angles[cell == c].max(0).tolist()} for c in np.unique(cell)]
+    return pa.table({"block": [key[0].as_py()], "ids": [rows.column("id").to_numpy().astype("<i8").tobytes()],
+                     "units": [matrix("unit").astype("<f8").tobytes()], "cells": [cells]},
+                    schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("units", pa.binary()), ("cells", pa.list_(pa.struct(
+                        [("cell", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])))]))
+
+
+def _multiply(threshold: float, dims: int):
+    # bound of the error of a product of unit vectors in single precision
+    slack = (dims + 8) * 2.0 ** -23
+
+    def matches(x, y, fast_x, fast_y, ia, ib, same):
+        at = np.flatnonzero((fast_x @ fast_y.T).ravel() >= np.float32(threshold - slack))
+        i, j = at // len(ib), at % len(ib)
+        if same:
+            i, j = i[ia[i] < ib[j]], j[ia[i] < ib[j]]
         sims = np.round(np.einsum("ij,ij->i", x[i], y[j]), 12)
-        hit = np.flatnonzero(sims >= threshold)
-        hits = [{"a": int(min(ia[i[k]], ib[j[k]])), "b": int(max(ia[i[k]], ib[j[k]])), "similarity": float(sims[k])} for k in hit]
-        return pd.DataFrame({"a_block": [key[0]], "b_block": [key[1]], "formed": [len(i)], "hits": [hits]})
+        hit = sims >= threshold
+        a, b = ia[i[hit]], ib[j[hit]]
+        return len(i), np.minimum(a, b), np.maximum(a, b), sims[hit]
+
+    def batch(found):
+        sizes = [len(f[3]) for f in found]
+        hits = pa.StructArray.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (3, 4, 5)], names=["a", "b", "similarity"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1, 2)]
+            + [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), hits)], names=["a_block", "b_block", "formed", "hits"])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = [], {}
+        for frame in frames:
+            for block, wanted, ids, units in zip(*(frame.column(c) for c in ("block", "wanted", "ids", "units"))):
+                x = np.frombuffer(units.as_buffer(), "<f8").reshape(-1, dims)
+                held = np.frombuffer(ids.as_buffer(), "<i8"), x, x.astype(np.float32)
+                if wanted.is_valid:
+                    left.append((block.as_py(), wanted.as_py(), *held))
+                else:
+                    right[block.as_py()] = held
+        found, size = [], 0
+        for a, wanted, ia, x, fast_x in left:
+            for b in wanted:
+                ib, y, fast_y = right[b]
+                found.append((a, b, *matches(x, y, fast_x, fast_y, ia, ib, a == b)))
+                size += len(found[-1][3])
+                if size >= HELD:
+                    yield batch(found)
+                    found, size = [], 0
+        if found:
+            yield batch(found)
 
     return run
 
 
+def _sides(blocks: DataFrame, pairs: DataFrame, span: int) -> DataFrame:
+    """The blocks of every two shelves that meet: of the first shelf with the blocks that each is wanted with, of the second without."""
+    rows = blocks.select("block", "ids", "units")
+    shelf = {x: F.floor(F.col(f"{x}_block") / span).alias(f"{x}_shelf") for x in "ab"}
+    one = pairs.groupBy(F.col("a_block").alias("block"), shelf["a"], shelf["b"]).agg(F.collect_list("b_block").alias("wanted"))
+    two = pairs.select(F.col("b_block").alias("block"), shelf["a"], shelf["b"], F.lit(None).cast("array<long>").alias("wanted")).distinct()
+    return one.unionByName(two).join(rows, "block")
+
+
 def similar_blocks(classes: DataFrame, threshold: float) -> DataFrame:
     """a_block, b_block, formed (pairs computed whole) and hits of every two blocks that may hold a match."""
     work = Workspace(classes.sparkSession, "vectors")
@@ -80,32 +137,27 @@ def similar_blocks(classes: DataFrame, threshold: float) -> DataFrame:
     if not len(pivots):
         return classes.sparkSession.createDataFrame([], _FOUND)
     dims = pivots.shape[1]
-    spread = units.select(*[F.variance(F.get("unit", F.lit(i))).alias(f"v{i}") for i in range(dims)]).first()
-    order = np.argsort([-(v or 0.0) for v in spread], kind="stable")
-    placed = units.mapInPandas(_place(pivots), _PLACED)
-    placed = positions(placed, ["cell", "own", "id"], "place").withColumn("block", F.floor((F.col("place") - 1) / BLOCK))
-    placed = work.save(placed, "placed")
-    blocks = placed.groupBy("block").agg(
-        F.array(*[F.min(F.get("angles", F.lit(i))) for i in range(len(pivots))]).alias("low"),
-        F.array(*[F.max(F.get("angles", F.lit(i))) for i in range(len(pivots))]).alias("high"))
-    cells = placed.select("block", "cell").distinct()
+    placed = positions(units.mapInPandas(_place(pivots), _PLACED), ["cell", "own", "id"], "place")
+    placed = placed.withColumn("block", F.floor((F.col("place") - 1) / BLOCK))
+    blocks = work.save(placed.groupBy("block").applyInArrow(_packed, _BLOCKS), "blocks")
+    cells = work.save(blocks.select("block", F.inline("cells")), "cells")
     # cells that can meet: their angles to each pivot, compared once for the fixed number of cells
-    wide = placed.groupBy("cell").agg(
-        F.array(*[F.min(F.get("angles", F.lit(i))) for i in range(len(pivots))]).alias("low"),
-        F.array(*[F.max(F.get("angles", F.lit(i))) for i in range(len(pivots))]).alias("high")).collect()
+    wide = cells.groupBy("cell").agg(
+        F.array(*[F.min(F.get("low", F.lit(i))) for i in range(len(pivots))]).alias("low"),
+        F.array(*[F.max(F.get("high", F.lit(i))) for i in range(len(pivots))]).alias("high")).collect()
     reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-7
     meet = [(p.cell, q.cell) for p in wide for q in wide
             if all(max(pl - qh, ql - ph) <= reach for pl, ph, ql, qh in zip(p.low, p.high, q.low, q.high))]
     meet = classes.sparkSession.createDataFrame(meet, "a_cell int, b_cell int")
-    one = blocks.join(cells, "block").select(*[F.col(c).alias(f"a_{c}") for c in ("block", "cell", "low", "high")])
-    two = blocks.join(cells, "block").select(*[F.col(c).alias(f"b_{c}") for c in ("block", "cell", "low", "high")])
+    one, two = (cells.select(*[F.col(c).alias(f"{x}_{c}") for c in ("block", "cell", "low", "high")]) for x in "ab")
     gap = F.array_max(F.zip_with(F.zip_with("a_low", "b_high", lambda x, y: x - y), F.zip_with("b_low", "a_high", lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
     pairs = one.join(meet, "a_cell").join(two, "b_cell").filter((F.col("a_block") <= F.col("b_block")) & (gap <= reach))
     pairs = work.save(pairs.select("a_block", "b_block").distinct(), "pairs")
-    rows = placed.select("block", "id", "unit")
-    sides = rows.join(pairs, F.col("block") == F.col("a_block")).select("a_block", "b_block", F.lit(True).alias("left"), "id", "unit").unionByName(
-        rows.join(pairs, F.col("block") == F.col("b_block")).select("a_block", "b_block", F.lit(False).alias("left"), "id", "unit"))
-    return sides.groupBy("a_block", "b_block").applyInPandas(_multiply(threshold, order, max(1, dims // 2)), _FOUND)
+    # few blocks lie in smaller shelves, so that all cores have shelves to multiply
+    fewest = int(np.ceil(np.sqrt(8 * classes.sparkSession.sparkContext.defaultParallelism)))
+    span = max(1, min(SHELF, blocks.count() // fewest))
+    work.keep(blocks, pairs)
+    return _sides(blocks, pairs, span).groupBy("a_shelf", "b_shelf").applyInArrow(_multiply(threshold, dims), _FOUND)
 
 
 def similar_vectors(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -115,5 +167,6 @@ def similar_vectors(vectors: DataFrame, threshold: float, key: str = "vec_id", v
     vectors have one number of components. An empty table gives an empty result.
     """
     work = Workspace(vectors.sparkSession, "vectors")
-    found = work.save(similar_blocks(work.save(vector_classes(vectors, key, vector), "classes"), threshold), "found")
+    found = similar_blocks(work.save(vector_classes(vectors, key, vector), "classes"), threshold)
+    work.keep()
     return found.select(F.explode("hits").alias("h")).select("h.a", "h.b", "h.similarity")

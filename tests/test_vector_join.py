@@ -53,3 +53,25 @@ def test_matching_prefers_vectors_and_asks_the_source(spark):
     got = {r.id: r.parent_id for r in L.first_match_cluster(df, "2024-02-01 00:00:00").collect()}
     # 2 points elsewhere than 1; 3 takes its source's category and meets 2; 4 has no vector and is compared by words; 5 is of another category
     assert got == {1: None, 2: None, 3: 2, 4: 1, 5: None}
+
+
+@pytest.mark.parametrize("shelf", [1, 4])
+def test_shelves_send_a_block_once(spark, monkeypatch, shelf):
+    """All blocks meet; each is sent once to every shelf, and matches are those of all pairs, near the threshold too."""
+    monkeypatch.setattr(V, "BLOCK", 8)
+    monkeypatch.setattr(V, "SHELF", shelf)
+    monkeypatch.setattr(V, "HELD", 50)
+    monkeypatch.setattr(V.np, "ceil", lambda x: 1)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(100)]
+    rows += [(100 + i, [1.0 if k == i else 0.0 for k in range(6)]) for i in range(6)] + [(110, [1.0, 1.0, 1.0, 1.0, 0.0, 0.0])]
+    sent = []
+    sides = V._sides
+    monkeypatch.setattr(V, "_sides", lambda blocks, pairs, span: sent.append(sides(blocks, pairs, span)) or sent[-1])
+    got = {(h.a, h.b): h.similarity for r in V.similar_blocks(V.vector_classes(frame(spark, rows)), 0.5).collect() for h in r.hits}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    want = {(i, j): round(float(unit[i] @ unit[j]), 12) for i in unit for j in unit if i < j and round(float(unit[i] @ unit[j]), 12) >= 0.5}
+    assert set(got) == set(want) and (100, 110) in got and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    blocks = -(-len(rows) // 8)
+    shelves = -(-blocks // shelf)
+    assert sent[0].count() <= blocks * (shelves + 1)
