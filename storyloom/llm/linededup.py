@@ -21,26 +21,35 @@ def _small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _probes(line: Column, size: Column, edits: int) -> Column:
-    """Keys of all substrings that can be a segment of a line at most ``edits`` shorter, the own segments first.
+def _segments(edits: int) -> Column:
+    """own, less, i, move of all substrings that can be a segment of a line at most ``edits`` shorter.
 
     A line of n characters is cut into edits + 1 segments, the last n mod (edits + 1) of them one longer. Within ``edits`` edits
     at least one segment is left whole; segment i has then moved by no more than i, and by no more than what is left
-    of the edits behind it. A key has the segment's number, the length of the shorter line, and the substring.
+    of the edits behind it. Own ones are those of the line itself.
     """
-    own, other = [], []
-    for less in range(edits + 1):
-        n = size - less
-        base = F.floor(n / (edits + 1)).cast("int")
-        longer = n - base * (edits + 1)
-        for i in range(edits + 1):
-            width = base + F.when(longer >= edits + 1 - i, 1).otherwise(0)
-            start = base * i + F.greatest(longer - (edits + 1 - i), F.lit(0))
-            for move in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                at = start + move
-                key = F.when((at >= 0) & (at + width <= size), F.xxhash64(F.lit(i), n, F.substring(line, at + 1, width)))
-                (other if less or move else own).append(key)
-    return F.array(*own, *other)
+    return F.array(*(F.struct(F.lit(less == move == 0).alias("own"), F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(move).alias("move"))
+                     for less in range(edits + 1) for i in range(edits + 1)
+                     for move in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)))
+
+
+def _probes(lines: DataFrame, edits: int, *keep: str) -> DataFrame:
+    """``keep``, key and own of all substrings of ``_segments``. A key has the segment's number, the length of the shorter line, and the
+    substring.
+
+    Segments are rows of a constant table and the key is one expression over its columns: keys written out one by one would make a method
+    too long for the JVM to compile.
+    """
+    rows = lines.select(*keep, "line", "size", F.inline(_segments(edits)))
+    n = F.col("size") - F.col("less")
+    rows = rows.withColumn("n", n).withColumn("base", F.floor(n / (edits + 1)).cast("int"))
+    longer = F.col("n") - F.col("base") * (edits + 1) - (edits + 1) + F.col("i")  # segments before i that are longer, if above 0
+    width = F.col("base") + F.when(longer >= 0, 1).otherwise(0)
+    rows = rows.withColumn("width", width).withColumn("at", F.col("base") * F.col("i") + F.greatest(longer, F.lit(0)) + F.col("move"))
+    # of ASCII alone the bytes are cut, which hash as the characters and need not be counted from the line's start
+    key = F.when(F.octet_length("line") == F.col("size"), F.xxhash64("i", "n", F.substring(F.col("line").cast("binary"), F.col("at") + 1, F.col("width")))) \
+        .otherwise(F.xxhash64("i", "n", F.col("line").substr(F.col("at") + 1, F.col("width"))))
+    return rows.where((F.col("at") >= 0) & (F.col("at") + F.col("width") <= F.col("size"))).select(*keep, key.alias("key"), "own")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -77,16 +86,16 @@ def _apart(x: str, y: str) -> Column:
 def near_earlier(lines: DataFrame, firsts: DataFrame, room: Workspace, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """a, b of the lines that have another line within ``edits`` edits whose first place is earlier.
 
-    First the keys that different lines share are found by an aggregation that only keeps two hashes a key. Then, of the lines with such
-    keys, the earliest of each key is compared with all others; lines still without an earlier neighbour meet
+    First the keys that different lines share are found by an aggregation that only keeps two hashes a key; keys are made again for the
+    join with these rather than kept on disk. Then, of the lines with such keys, the earliest of each key is compared with all others; lines still without an earlier neighbour meet
     every earlier line of their keys whose letter counts allow it. So a key that very many lines share costs one comparison a line
     as long as they are near, and lines that share a segment but not their letters are not paired.
     """
     long = lines.withColumn("size", F.char_length("line")).where(F.col("size") >= least)
-    keyed = room.save(long.select("a", F.posexplode(_probes(F.col("line"), F.col("size"), edits)).alias("slot", "key"))
-                      .where(F.col("key").isNotNull()).select("a", "key", (F.col("slot") <= edits).alias("own")), "keyed")
+    keyed = _probes(long, edits, "a")
     live = room.save(keyed.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("key"), "live")
-    members = room.save(keyed.join(_small(live, 5 * SMALL), "key").distinct(), "members")
+    # always by a merge, so that what is shuffled grows with the lines and not from the size on at which live can't be broadcast
+    members = room.save(keyed.join(live.hint("merge"), "key").distinct(), "members")
     wanted = room.save(members.select("a").distinct(), "wanted")
     texts = room.save(long.join(_small(wanted, 5 * SMALL), "a", "left_semi").select("a", "b", "line").distinct(), "texts")
     bags = texts.select("a", "b", *(c.alias(f"bag{i}") for i, c in enumerate(_bags(F.col("line")))))
@@ -173,14 +182,14 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST,
     numbers = repeated_lines(docs, edits, least)
     if copies:
         numbers = _alike(docs, numbers)
-    held = F.broadcast(numbers) if _weight(numbers) <= 5 * SMALL else numbers
     text = F.col("text").cast("string")
     own = [c for c in docs.columns if c not in names]
     left = docs.select(*own)
     # names that docs can't have
     free = "_" * (1 + max(map(len, own)))
     doc, digest, drops, count = (free + x for x in ("doc", "digest", "drops", "count"))
-    held = held.select(F.col("doc").alias(doc), F.col("digest").alias(digest), F.col("numbers").alias(drops))
+    # by a merge at all sizes: texts are shuffled once, as often as the lines' keys
+    held = numbers.select(F.col("doc").alias(doc), F.col("digest").alias(digest), F.col("numbers").alias(drops)).hint("merge")
     rows = left.join(held, (F.coalesce(left["doc_id"].cast("long"), F.lit(_LAST)) == F.col(doc))
                      & (F.xxhash64(F.coalesce(left["text"].cast("string"), F.lit(""))) == F.col(digest)), "left")
     lines = F.split(text, "\n")

@@ -54,3 +54,25 @@ def test_against_brute_force(spark):
     rows = [(i, "\n".join(changed(rng.choice(base)) for _ in range(rng.randint(1, 6))), "s") for i in range(80)]
     rows += [(100 + i, base[0][:-1] + chr(97 + i) + "\n\nshort line\nshort linf", "s") for i in range(20)]
     assert run(frame(spark, rows).repartition(3)) == brute(rows)
+
+
+def test_keys_of_segments(spark, monkeypatch):
+    """Keys of every line by plain slices, and none of them written to disk."""
+    lines = ["abcdefghijklmnopqrstuvwxyz", "é" * 24 + "abc", "x" * 31, "short line, but keyed too"]
+    want = set()
+    for line in lines:
+        for less in range(3):
+            n = len(line) - less
+            sizes = [n // 3 + (i >= 3 - n % 3) for i in range(3)]
+            for i in range(3):
+                for move in range(max(-i, less - (2 - i)), min(i, less + 2 - i) + 1):
+                    at = sum(sizes[:i]) + move
+                    if 0 <= at and at + sizes[i] <= len(line):
+                        want.add((line, i, n, line[at:at + sizes[i]], less == move == 0))
+    df = spark.createDataFrame([(x, len(x)) for x in lines], "line string, size int")
+    keys = spark.createDataFrame(sorted(want), "line string, i int, n int, part string, own boolean").selectExpr("line", "xxhash64(i, n, part) as key", "own")
+    assert set(map(tuple, L._probes(df, 2, "line").collect())) == set(map(tuple, keys.collect()))
+    saved, save = [], L.Workspace.save
+    monkeypatch.setattr(L.Workspace, "save", lambda self, df, label: saved.append(label) or save(self, df, label))
+    L.repeated_lines(frame(spark, [(i, x, "s") for i, x in enumerate(lines)])).collect()
+    assert "live" in saved and "keyed" not in saved
