@@ -14,7 +14,7 @@ from storyloom.session import Workspace
 from .tables import fold, parts
 from .textblocks import SPACES, Block, Hasher, blocks, per_row, release, words
 
-#: Bytes of context; what stands before a text, and its end.
+#: Bytes of context, five at most (keys leave 16 bits free for the number of a text in its batch); what stands before a text, and its end.
 DEPTH, START, END = 5, 10, 10
 #: Text of a batch, whose distinct words and contexts are counted and looked up together.
 BATCH_BYTES = 3 << 20
@@ -59,14 +59,19 @@ def stream(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def byte_keys(data: np.ndarray, begins: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each byte its context, latest byte first, and the byte, in one number. Contexts reach across words to the start
     of the text and are filled with START beyond it."""
-    away = np.minimum(np.arange(len(data), dtype=np.int32) - begins.astype(np.int32)[owner], DEPTH).astype(np.uint8)
-    keys = data.astype(np.uint64)
+    wide = data.astype(np.uint64)
+    keys = wide.copy()
     for d in range(1, DEPTH + 1):
-        earlier = np.full(len(data), START, np.uint64)
-        earlier[d:] = data[:-d]
-        earlier[away < d] = START
-        earlier <<= np.uint64(8 * (DEPTH + 1 - d))
-        keys |= earlier
+        keys[d:] |= wide[:-d] << np.uint64(8 * (DEPTH + 1 - d))
+    # the first bytes of a text, whose contexts reach beyond it
+    for k in range(DEPTH):
+        at = begins + k
+        inside = at < len(data)
+        at = at[inside][owner[at[inside]] == np.flatnonzero(inside)]
+        near = wide[at]
+        for d in range(1, DEPTH + 1):
+            near |= (wide[at - d] if d <= k else np.uint64(START)) << np.uint64(8 * (DEPTH + 1 - d))
+        keys[at] = near
     return keys
 
 
@@ -82,43 +87,45 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct key of sorted ones begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+
+
+def _sum_sorted(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    first = _firsts(keys)
+    return keys[first], *(np.add.reduceat(v, first) if len(first) else v[:0] for v in values)
+
+
+def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(values[order], first) if len(first) else values[:0]
+    return _sum_sorted(keys[order], *(v[order] for v in values))
 
 
 class Tree:
     """Nodes of the context trees of all bit positions, from one depth on down to DEPTH.
 
     A node is a context of d bytes and the bits of the current byte so far; it has counts of the next bit and the weight
-    that context-tree weighting gives to its own estimate against its children's.
+    that context-tree weighting gives to its own estimate against its children's. Keys are sorted and distinct; the nodes of
+    a depth are summed up from those of the depth below.
     """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, top: int):
         self.nodes: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
         self.top = top
+        symbol = keys & np.uint64(255)
         for j in range(_BITS):
-            below = None
-            for d in range(DEPTH, top - 1, -1):
-                context = keys >> np.uint64(8 * (DEPTH - d) + 8)
-                symbol = keys & np.uint64(255)
-                name = context << np.uint64(8) | symbol >> np.uint64(_BITS - j)
-                one = (symbol >> np.uint64(_BITS - 1 - j) & np.uint64(1)).astype(bool)
-                node, ones = _sum_by(name, np.where(one, counts, 0))
-                _, zeros = _sum_by(name, np.where(one, 0, counts))
+            one = (symbol >> np.uint64(_BITS - 1 - j) & np.uint64(1)).astype(bool)
+            name = keys - symbol | symbol >> np.uint64(_BITS - j)
+            node, zeros, ones = _sum_sorted(name, np.where(one, 0, counts), np.where(one, counts, 0))
+            whole = _log_kt(zeros.astype(float), ones.astype(float))
+            self.nodes[DEPTH, j] = (node, zeros, ones, whole, np.ones(len(node)))
+            for d in range(DEPTH - 1, top - 1, -1):
+                parent = (node >> np.uint64(16)) << np.uint64(8) | node & np.uint64(255)
+                node, zeros, ones, children = _sum_by(parent, zeros, ones, whole)
                 own = _log_kt(zeros.astype(float), ones.astype(float))
-                if below is None:
-                    whole, weight = own, np.ones(len(node))
-                else:
-                    under, logs = below
-                    parent = (under >> np.uint64(16)) << np.uint64(8) | under & np.uint64(255)
-                    _, children = _sum_by(parent, logs)
-                    whole = np.logaddexp(own, children) - _LOG2
-                    weight = np.exp(own - _LOG2 - whole)
-                self.nodes[d, j] = (node, zeros, ones, whole, weight)
-                below = node, whole
+                whole = np.logaddexp(own, children) - _LOG2
+                self.nodes[d, j] = (node, zeros, ones, whole, np.exp(own - _LOG2 - whole))
 
     def blend(self, keys: np.ndarray, j: int, upper: "Upper") -> np.ndarray:
         """Probability of bit j of each key's byte in its context."""
@@ -188,11 +195,10 @@ def _batched(docs: DataFrame, groups: int, folds: int, apart: int) -> DataFrame:
             names = [text[starts[i]:ends[i]] for i in first]
             blobs = [b"".join(x + b" " for x in names[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
             numbers = [seen[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            every = byte_keys(data, begins, owner)
-            some, n = np.unique(every[~held[owner]], return_counts=True)
-            keys = np.unique(every)
-            often = np.zeros(len(keys), np.int64)
-            often[np.searchsorted(keys, some)] = n
+            # one sort of the keys, each with a bit that says whether it is learnt
+            every = byte_keys(data, begins, owner) << np.uint64(1) | (~held[owner]).astype(np.uint64)
+            every.sort()
+            keys, often = _sum_sorted(every >> np.uint64(1), (every & np.uint64(1)).astype(np.int64))
             stems = [{"stem": s, "keys": _pack(k), "n": pa.compress(c["n"].astype("<i4").tobytes(), codec="zstd", asbytes=True)}
                      for s, k, c in _by_stem(keys, n=often)]
             yield pa.RecordBatch.from_pydict({
@@ -298,6 +304,20 @@ def _word_counts(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["batch", "group", "seen"])
 
 
+def _add_answers(every: np.ndarray, owner: np.ndarray, logs: np.ndarray, rows: int) -> np.ndarray:
+    """Sum of each text's answers, which stand in the order of the distinct keys: keys are sorted with their texts and walked once."""
+    every = every << np.uint64(16) | owner.astype(np.uint64)
+    every.sort()
+    scores, at = np.zeros(rows), -1
+    for a in range(0, len(every), PIECE):
+        some = every[a : a + PIECE]
+        before = every[a - 1 : a] if a else ~some[:1]
+        place = at + np.cumsum(some >> np.uint64(16) != np.concatenate([before, some[:-1]]) >> np.uint64(16))
+        at = place[-1]
+        scores += np.bincount((some & np.uint64(65535)).astype(np.int64), weights=logs[place], minlength=rows)
+    return scores
+
+
 def score(docs: DataFrame, folds: int = 7, apart: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
@@ -378,11 +398,7 @@ def score(docs: DataFrame, folds: int = 7, apart: int = 2) -> DataFrame:
         def add(values):
             return np.bincount(mine, weights=values[tokens], minlength=len(lengths))
 
-        every = byte_keys(data, begins, owner)
-        keys, scores = np.unique(every), np.zeros(len(lengths))
-        for a in range(0, len(every), PIECE):
-            some = logs[np.searchsorted(keys, every[a : a + PIECE])]
-            scores += np.bincount(owner[a : a + PIECE], weights=some, minlength=len(lengths))
+        scores = _add_answers(byte_keys(data, begins, owner), owner, logs, len(lengths))
         release()
         return pd.DataFrame({
             "doc_id": pd.array(list(row["ids"]), "Int64"), "held_out": np.frombuffer(row["held"], np.uint8).astype(bool),

@@ -110,3 +110,44 @@ def test_word_order_counts(spark):
     got = {r.doc_id: r for r in ctw.score(frame(spark, rows)).collect()}
     held = next(r for i, r in got.items() if r.held_out and i < 1000)
     assert held.score > got[1000].score + 5 and held.score > held.base_score + 5
+
+
+def test_keys_and_nodes_by_plain_means():
+    """Keys of texts shorter and longer than a context, and nodes that are summed from those below, against the bytes themselves."""
+    import numpy as np
+
+    from storyloom.llm.textblocks import BLOCK_ROWS, Block
+
+    texts = [b"a", b"", b"ab cd", b"abcabcabc abcab", b"x y", b"the end of it"]
+    data, begins, owner, _, _ = ctw.stream(Block(None, texts))
+    want = [(c, b) for t in texts for c, b in pieces(t.split())]
+    numbers = [int.from_bytes(bytes([*c, b]), "big") for c, b in want]
+    every = ctw.byte_keys(data, begins, owner)
+    assert every.tolist() == numbers
+    assert int(every.max()).bit_length() + BLOCK_ROWS.bit_length() - 1 <= 64
+    keys, counts = np.unique(every, return_counts=True)
+    tree = ctw.Tree(keys, counts, 2)
+    seen = Counter()
+    for c, b in want:
+        for d in range(2, ctw.DEPTH + 1):
+            for j in range(8):
+                seen[d, j, int.from_bytes(bytes(c[:d]), "big") << 8 | b >> (8 - j), b >> (7 - j) & 1] += 1
+    for (d, j), (node, zeros, ones, _, _) in tree.nodes.items():
+        for n, z, o in zip(node.tolist(), zeros.tolist(), ones.tolist()):
+            assert (z, o) == (seen[d, j, n, 0], seen[d, j, n, 1])
+        assert node.tolist() == sorted({k[2] for k in seen if k[:2] == (d, j)})
+
+
+def test_answers_are_walked_in_pieces(monkeypatch):
+    """Sums over the sorted keys, in pieces that cut runs of one key, are those of looking each key up."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    every = rng.integers(0, 40, 500).astype(np.uint64) * np.uint64(0xFFFFFFFFFF) + np.uint64(7)
+    owner = np.sort(rng.integers(0, 4096, 500)).astype(np.int32)
+    keys = np.unique(every)
+    logs = rng.normal(size=len(keys)).astype(np.float32)
+    want = np.bincount(owner, weights=logs[np.searchsorted(keys, every)], minlength=4096)
+    for piece in (1, 7, 1000):
+        monkeypatch.setattr(ctw, "PIECE", piece)
+        assert ctw._add_answers(every, owner, logs, 4096) == pytest.approx(want, abs=1e-9)
