@@ -108,13 +108,17 @@ def parse_feeds(feeds: DataFrame, xml="xml", keep=()) -> DataFrame:
     link = F.coalesce(_tag(item, "link"), F.nullif(F.regexp_extract(item, r"<link[^>]*href=[\"']([^\"']+)", 1), F.lit("")))
     title = unescape(_tag(item, "title"))
     body = strip_html_basic(unescape(F.coalesce(_tag(item, "description", "summary", "content:encoded"), F.lit(""))))
-    return items.select(
-        *keep, "item_pos", normalize_url(unescape(link)).alias("url"), F.substring(title, 1, 1024).alias("title"),
+    # made as a row, so that the filter reads the address and title and does not compute them again
+    heads = items.select(*keep, "item_pos", "item", F.inline(F.array(F.struct(
+        normalize_url(unescape(link)).alias("url"), title.alias("title"))))).filter((F.col("url") != "") & (text_or_empty(F.col("title")) != ""))
+    title = F.col("title")
+    return heads.select(
+        *keep, "item_pos", "url", F.substring(title, 1, 1024).alias("title"),
         strip_paywall(body).alias("raw_text"), parse_ts(_tag(item, "pubDate", "published", "dc:date")).alias("published_at"),
         parse_ts(_tag(item, "updated", "lastBuildDate")).alias("source_updated_at"),
         _tag(item, "source").alias("feed_source"),
         wire_of(F.concat_ws(" ", title, body)).alias("wire_attribution"),
-    ).filter((F.col("url") != "") & (text_or_empty(F.col("title")) != ""))
+    )
 
 
 def crawl_entries(entries: DataFrame, feed: str, default_source: str, max_items: int = 15, known=None) -> DataFrame:

@@ -97,3 +97,13 @@ def test_snapshot_rows_are_bounded(spark):
         assert ids == sorted(ids, key=lambda i: (-(i % 5), i)) and len(ids) == n
     whole = ST.feed_snapshot(cards, "2024-02-01 00:00:00", limit=10).collect()
     assert [len(r["items"]) for r in whole] == [10] and whole[0]["count"] == 100
+
+
+def test_feed_filter_does_not_parse_again(spark):
+
+    rows = spark.createDataFrame([("f", "<item><title>A &amp; b</title><link>https://x.example/a</link></item><item><title>c</title></item>"
+                                        "<item><link>https://x.example/d</link></item>")], "feed string, xml string").withColumn("xml", F.concat("xml", "feed"))
+    out = N.parse_feeds(rows, keep=["feed"])
+    assert [tuple(r) for r in out.select("item_pos", "url", "title").collect()] == [(0, "https://x.example/a", "A & b")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("Filter" in x and "<title" in x for x in plan)
