@@ -108,7 +108,7 @@ def parse_feeds(feeds: DataFrame, xml="xml", keep=()) -> DataFrame:
     link = F.coalesce(_tag(item, "link"), F.nullif(F.regexp_extract(item, r"<link[^>]*href=[\"']([^\"']+)", 1), F.lit("")))
     title = unescape(_tag(item, "title"))
     body = strip_html_basic(unescape(F.coalesce(_tag(item, "description", "summary", "content:encoded"), F.lit(""))))
-    # made as a row, so that the filter reads the address and title and does not compute them again
+    # address and title are made as a row of their own, which all that follows reads
     heads = items.select(*keep, "item_pos", "item", F.inline(F.array(F.struct(
         normalize_url(unescape(link)).alias("url"), title.alias("title"))))).filter((F.col("url") != "") & (text_or_empty(F.col("title")) != ""))
     title = F.col("title")
